@@ -2,4 +2,63 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_HEAD = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?"""
+
+
+def _found(kind: int, name: str, pattern: str, keep: str) -> str:
+    return f"""
+ SELECT row, {kind} AS kind, '{name}' AS name, s AS start, s + length(m) AS "end" FROM (
+  SELECT row, m, i, sum(length(g)) OVER w + sum(length(m)) OVER w - length(m) AS s FROM (
+   SELECT row, unnest(list_slice(string_split_regex(text, '{pattern}'), 1, len(ms))) AS g, unnest(ms) AS m, generate_subscripts(ms, 1) AS i
+   FROM (SELECT row, text, regexp_extract_all(text, '{pattern}') AS ms FROM d) WHERE len(ms) > 0)
+  WINDOW w AS (PARTITION BY row ORDER BY i ROWS UNBOUNDED PRECEDING))
+ WHERE {keep}"""
+
+
+def _secrets() -> str:
+    found = {
+        "base": " UNION ALL ".join([
+            _found(0, "assign", _HEAD + "[A-Za-z0-9+/_.=-]+", f"length(regexp_replace(m, '^{_HEAD}', '')) >= 8"),
+            _found(1, "access", "AKIA[A-Z0-9]+", "length(m) >= 16"),
+            _found(2, "hex", "[0-9a-f]+", "length(m) >= 32"),
+        ]),
+        "weak": " UNION ALL ".join([
+            _found(3, "identifier", r"(?:client_id|access_id|user_id|account)\x20*[:=]\x20*[A-Za-z0-9._@-]{4,}", "true"),
+            _found(4, "secret", "[A-Za-z0-9+/]{40,}", "length(m) = 40 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]')"),
+            _found(5, "endpoint", "https?://[A-Za-z0-9.-]+", "true"),
+        ]),
+    }
+    near = lambda kinds: f"""EXISTS (SELECT 1 FROM parts p WHERE p.row = w.row AND p.kind IN ({kinds}) AND p.start <= w."end" + 256 AND w.start <= p."end" + 256)"""
+    text = lambda where: f"""coalesce(string_agg(name || ':' || start::BIGINT || ':' || "end"::BIGINT, ',' ORDER BY start, kind, "end") {where}, '')"""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+base AS ({found["base"]}),
+loose AS ({found["weak"]}),
+weak AS (SELECT * FROM loose w WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.row = w.row AND b.start < w."end" AND w.start < b."end")),
+parts AS (SELECT * FROM base UNION ALL SELECT * FROM weak),
+linked AS (SELECT * FROM weak w WHERE CASE kind WHEN 3 THEN {near("0, 2, 4")} WHEN 4 THEN {near("1, 3")} ELSE {near("1, 3")} AND {near("0, 2, 4")} END),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM linked)
+SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+ sha256({text("FILTER (kind < 3)")}) AS base_sha256, {text("")} AS spans
+FROM d LEFT JOIN spans USING (row) GROUP BY row, doc_id
+"""
+
+
+_MIX = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  md5(coalesce(doc_id::VARCHAR, 'null') || ':mix') AS hkey FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, 3.0::DOUBLE * sum(size) AS cap FROM d GROUP BY source),
+w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM s),
+f AS (SELECT *, sum(source_size) OVER () AS total,
+  coalesce(sum(cap) OVER o, 0) AS full_, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS open_
+  FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT max((total - full_) / open_) FILTER ((total - full_) / open_ <= cap / weight) AS level FROM f),
+t AS (SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM f, l),
+b AS (SELECT *, round(target)::BIGINT AS budget, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS epochs FROM t)
+SELECT doc_id, size, source_size, target,
+ (epochs * size + greatest(0, least(size, budget - epochs * source_size
+   - coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY hkey, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))))::BIGINT AS taken
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+"""
+
+ORACLES: dict[str, str] = {"op4_linked_secrets": _secrets(), "op5_weighted_mix": _MIX}

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .mixing import mix, word_count
+from .secrets import scan_secrets
 from .sharding import feistel_shards
 
 
@@ -26,6 +28,24 @@ def op1_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    number = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"),
+        F.sha2(F.col("base_text"), 256).alias("base_sha256"), F.col("spans_text").alias("spans"),
+    )
+
+
+def op5_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return mix(spark, docs, "doc_id", "source", "size", [5, 2, 1]).select(
+        "doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_sharding": op1_feistel_sharding,
+    "op4_linked_secrets": op4_linked_secrets,
+    "op5_weighted_mix": op5_weighted_mix,
 }
