@@ -61,4 +61,20 @@ SELECT doc_id, size, source_size, target,
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
 """
 
-ORACLES: dict[str, str] = {"op4_linked_secrets": _secrets(), "op5_weighted_mix": _MIX}
+
+_WINDOWS = r"""
+WITH low AS (SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT row, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+i AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id::VARCHAR AS item_id,
+  regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM i)),
+dw AS (SELECT row, k, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT row, w, n, unnest(range(1, greatest(1, len(w) - n + 2))) AS k FROM d, (SELECT DISTINCT n FROM iw))),
+h AS (SELECT row, k, n, item_id FROM dw JOIN iw USING (n, g)),
+hit AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(k, k + n)) AS p FROM h) GROUP BY row),
+it AS (SELECT row, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT row, item_id FROM h) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+ sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (row) LEFT JOIN it USING (row)
+"""
+
+ORACLES: dict[str, str] = {"op4_linked_secrets": _secrets(), "op5_weighted_mix": _MIX, "op9_benchmark_windows": _WINDOWS}

@@ -7,9 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import find_contamination
 from .mixing import mix, word_count
 from .secrets import scan_secrets
 from .sharding import feistel_shards
+from .token_output import ids_table
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,8 +53,24 @@ def op5_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ids_table(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
+def op9_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_contamination(spark, docs, _table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_sharding": op1_feistel_sharding,
     "op4_linked_secrets": op4_linked_secrets,
     "op5_weighted_mix": op5_weighted_mix,
+    "op8_rans_token_ids": op8_rans_token_ids,
+    "op9_benchmark_windows": op9_benchmark_windows,
 }
