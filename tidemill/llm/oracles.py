@@ -77,4 +77,13 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM d LEFT JOIN hit USING (row) LEFT JOIN it USING (row)
 """
 
-ORACLES: dict[str, str] = {"op4_linked_secrets": _secrets(), "op5_weighted_mix": _MIX, "op9_benchmark_windows": _WINDOWS}
+_B32 = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {at}, 5))::BIGINT >> {shift}) & 31)::INT + 1, 1)"
+_ARCHIVE = f"""
+SELECT page_id, n AS payload_bytes, {" || ".join(_B32.format(at=5 * g + 1, shift=k) for g in range(8) for k in (15, 10, 5, 0))} AS payload_digest,
+ CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
+FROM (SELECT page_id, strlen(p)::BIGINT AS n, sha1(p) AS h, min(page_id) OVER (PARTITION BY p) AS first
+  FROM (SELECT page_id, coalesce(html, '') AS p FROM pages))
+"""
+
+ORACLES: dict[str, str] = {"op4_linked_secrets": _secrets(), "op5_weighted_mix": _MIX, "op6_warc_archives": _ARCHIVE, "op9_benchmark_windows": _WINDOWS}

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import shared_path
 from .decontamination import find_contamination
 from .mixing import mix, word_count
 from .secrets import scan_secrets
 from .sharding import feistel_shards
 from .token_output import ids_table
+from .warc import read_warc, write_warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -53,6 +55,11 @@ def op5_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = write_warc(spark, _table(spark, sf_dir, "pages").select("page_id", "url", "html"), shared_path(spark, "warc"), least=0)
+    return read_warc(spark, out, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_table(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
@@ -71,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_sharding": op1_feistel_sharding,
     "op4_linked_secrets": op4_linked_secrets,
     "op5_weighted_mix": op5_weighted_mix,
+    "op6_warc_archives": op6_warc_archives,
     "op8_rans_token_ids": op8_rans_token_ids,
     "op9_benchmark_windows": op9_benchmark_windows,
 }
