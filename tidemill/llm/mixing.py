@@ -76,7 +76,7 @@ def mix(spark: SparkSession, docs: DataFrame, key: str, source: str, size: str,
     per_source = per_source.select("source", "source_size", "target", epochs.alias("epochs"), (budget - epochs * F.col("source_size")).alias("rest"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("range_before", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
-    ranges = ranges.join(F.broadcast(per_source).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    ranges = ranges.join(per_source.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     ranges = ranges.select(F.col("source").alias("s"), F.col("range").alias("r"), "source_size", "target", "epochs", "rest", "range_before")
     in_range = Window.partitionBy("source", "range").orderBy("at", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("row_before", F.coalesce(F.sum("size").over(in_range), F.lit(0)))
