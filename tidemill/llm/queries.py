@@ -13,6 +13,7 @@ from .mixing import mix, word_count
 from .secrets import scan_secrets
 from .sharding import feistel_shards
 from .token_output import ids_table
+from .toxicity import fold, score_toxicity
 from .warc import read_warc, write_warc
 
 
@@ -74,6 +75,13 @@ def op9_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(spark, docs, _table(spark, sf_dir, "labels")).select(
+        "doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_sharding": op1_feistel_sharding,
     "op4_linked_secrets": op4_linked_secrets,
@@ -81,4 +89,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc_archives": op6_warc_archives,
     "op8_rans_token_ids": op8_rans_token_ids,
     "op9_benchmark_windows": op9_benchmark_windows,
+    "op10_nnpu_toxicity": op10_nnpu_toxicity,
 }
