@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import shared_path
 from .decontamination import find_contamination
 from .mixing import mix, word_count
+from .neighbours import nearest
 from .secrets import scan_secrets
 from .sharding import feistel_shards
 from .token_output import ids_table
@@ -40,6 +41,11 @@ def op1_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(spark, rows, rows.where(F.col("vec_id") % 20 == 0), 20)
+
+
 def op4_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     number = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
@@ -84,6 +90,7 @@ def op10_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_sharding": op1_feistel_sharding,
+    "op3_kmeans_tree_neighbours": op3_kmeans_tree_neighbours,
     "op4_linked_secrets": op4_linked_secrets,
     "op5_weighted_mix": op5_weighted_mix,
     "op6_warc_archives": op6_warc_archives,
