@@ -128,9 +128,12 @@ def write_warc(spark: SparkSession, pages: DataFrame, out: str, key: str = "page
         return pd.Series(np.searchsorted(bounds.value, k.to_numpy(), side="right") - 1)
 
     def write(batches):
-        now, last, copy = None, None, 0
+        now, last, copy, note = None, None, 0, None
         for batch in batches:
-            for s, k, null, sha, u, to, payload in zip(*(c.to_pylist() for c in batch.columns[:6]), batch.column(6)):
+            for s, k, sha, tag, null, u, first, payload in zip(*(c.to_pylist() for c in batch.columns[:7]), batch.column(7)):
+                if not tag:
+                    note = (k, sha, first)
+                    continue
                 if now is None or now.shard != s:
                     if now is not None:
                         now.close()
@@ -138,16 +141,18 @@ def write_warc(spark: SparkSession, pages: DataFrame, out: str, key: str = "page
                     now = _Files(out, s)
                 copy = copy + 1 if last == (k, null, sha) else 0
                 last = (k, null, sha)
+                to = note[2] if note and note[:2] == (k, sha) else None
                 now.add(member(record(None if null else k, u, payload.as_py(), to, copy)))
         if now is not None:
             now.close()
             yield _manifest(now.done)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = rows.withColumn("k", F.coalesce("key", F.lit(LOWEST))).withColumn("sha", F.sha1("payload"))
-    keyed = keyed.join(revisits, (F.col("k") == F.col("r_k")) & (F.col("sha") == F.col("r_sha")), "left")
-    placed = keyed.select(shard_of("k").alias("shard"), "k", F.col("key").isNull().alias("null"), "sha", "url", "first", "payload")
-    placed = placed.repartition(n, "shard").sortWithinPartitions("shard", "k", "sha", "url")
+    # what a row revisits travels as a narrow row just before it: the payloads are shuffled once
+    notes = revisits.select(F.col("r_k").alias("k"), F.col("r_sha").alias("sha"), F.lit(0).alias("tag"), F.lit(False).alias("null"), F.lit(None).cast("string").alias("url"), "first", F.lit(None).cast("binary").alias("payload"))
+    whole = rows.select(F.coalesce("key", F.lit(LOWEST)).alias("k"), F.sha1("payload").alias("sha"), F.lit(1).alias("tag"), F.col("key").isNull().alias("null"), "url", F.lit(None).cast("long").alias("first"), "payload")
+    placed = notes.union(whole).select(shard_of("k").alias("shard"), "*")
+    placed = placed.repartition(n, "shard").sortWithinPartitions("shard", "k", "sha", "tag", "url")
     placed.mapInArrow(write, "shard long, file string, bytes long, records long, sha256 string").write.parquet(f"{out}/manifest")
     bounds.unpersist()
     return out
