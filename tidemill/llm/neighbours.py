@@ -14,12 +14,13 @@ from .common import written
 
 #: The tree is fitted on this many rows at most (those with the smallest hash of their id); every row is indexed.
 SAMPLE = 20_000
-#: Children of a node, rows of the sample in a leaf, and leaves: at most SAMPLE / LEAF * 2.
-BRANCHES, LEAF = 8, 40
+#: Children of a node, levels below the root, and rows of the sample that a node needs to be split:
+#: at most BRANCHES**LEVELS leaves, however many rows there are.
+BRANCHES, LEVELS, LEAF = 16, 2, 16
 #: Queries whose exact neighbours calibrate the traversal, and the recall they must reach.
 PROBES, RECALL = 200, 0.97
-#: Vectors of a leaf in one block, and queries that meet a block at a time: both bound a task's memory.
-BLOCK, QUERIES = 4096, 4096
+#: Vectors of a leaf in one block, queries that meet a block at a time, and that share a task: they bound its memory.
+BLOCK, QUERIES, GROUP = 4096, 1024, 1 << 16
 
 
 class Tree:
@@ -46,10 +47,10 @@ class Tree:
         return len(self.centres) - 1
 
     def _grow(self, x: np.ndarray, rng) -> None:
-        todo = [(self._node(x.mean(0) if len(x) else np.zeros(x.shape[1])), np.arange(len(x)))]
+        todo = [(self._node(x.mean(0) if len(x) else np.zeros(x.shape[1])), np.arange(len(x)), 0)]
         while todo:
-            node, own = todo.pop()
-            parts = self._split(x[own], rng) if len(own) > LEAF else None
+            node, own, level = todo.pop()
+            parts = self._split(x[own], rng) if len(own) > LEAF and level < LEVELS else None
             if parts is None:
                 self.leaf[node] = self.leaves
                 self.leaves += 1
@@ -57,7 +58,7 @@ class Tree:
             for k in range(parts.max() + 1):
                 child = self._node(x[own[parts == k]].mean(0))
                 self.children[node].append(child)
-                todo.append((child, own[parts == k]))
+                todo.append((child, own[parts == k], level + 1))
 
     def _split(self, x: np.ndarray, rng) -> np.ndarray | None:
         """k-means; None if the rows don't come apart (copies)."""
@@ -95,9 +96,9 @@ class Tree:
                     out.append(self.leaf[node])
                     held += int(counts[self.leaf[node]])
                 continue
-            for child in self.children[node]:
-                d = self.centres[child] - q
-                heapq.heappush(heap, (float(d @ d), child))
+            d = np.stack([self.centres[c] for c in self.children[node]]) - q
+            for pair in zip((d * d).sum(1).tolist(), self.children[node]):
+                heapq.heappush(heap, pair)
         return out
 
 
@@ -138,7 +139,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int,
     A query goes on to further leaves until they hold more than k rows.
 
     A leaf is cut into blocks of about BLOCK rows by a hash of the key, queries go through in
-    groups of about QUERIES: a leaf with a third of all rows is many tasks.
+    groups of about GROUP: a leaf with a third of all rows is many tasks.
     Unusable vectors and null keys take no part, nor do vectors of another length than most have.
     A repeated key is a candidate as often as it occurs.  Ties go to the smaller key.  Empty tables give no rows.
     """
@@ -168,20 +169,23 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int,
     leaves = _calibrated(spark, placed, queries, tree, counts, k)
 
     blocks = np.maximum(1, -(-counts // BLOCK))
-    groups = max(1, -(-queries.count() // QUERIES))
+    groups = max(1, -(-queries.count() // GROUP))
     plan = spark.sparkContext.broadcast((leaves, counts, blocks))
 
     def visit(batches):
+        """For each leaf's block, the queries of a batch that look into it, as one row."""
         leaves, counts, blocks = plan.value
-        for batch in batches:
-            q = _matrix(batch.column(1)) if batch.num_rows else np.zeros((0, dim))
-            for i in range(batch.num_rows):
-                seen = [(int(leaf), b) for leaf in shared.value.visits(q[i], counts, leaves, k + 1) for b in range(int(blocks[leaf]))]
-                n = len(seen)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(batch.column(0)[i].as_py(), n)), pa.array([x[0] for x in seen], pa.int32()), pa.array([x[1] for x in seen], pa.int32())],
-                    names=["q", "leaf", "block"],
-                )
+        for whole in batches:
+            for i in range(0, whole.num_rows, QUERIES):
+                batch = whole.slice(i, QUERIES)
+                ids, q, grp = batch.column(0).to_numpy(), _matrix(batch.column(1)), batch.column(2).to_numpy()
+                by: dict[tuple[int, int], list[int]] = {}
+                for k_, row in enumerate(q):
+                    for leaf in shared.value.visits(row, counts, leaves, k + 1):
+                        by.setdefault((int(leaf), int(grp[k_])), []).append(k_)
+                out = [(leaf, b, g, ids[own].tobytes(), q[own].tobytes()) for (leaf, g), own in by.items() for b in range(int(blocks[leaf]))]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["leaf", "block", "grp", "ids", "vectors"])
 
     @F.pandas_udf("int")
     def block_of(leaf: pd.Series, h: pd.Series) -> pd.Series:
@@ -189,14 +193,16 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int,
 
     hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 31))
     rows = placed.withColumn("block", block_of("leaf", hashed)).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    visits = queries.mapInArrow(visit, "q long, leaf int, block int").select(F.col("q").alias("id"), "leaf", "block")
-    asked = visits.join(queries.withColumnRenamed("id", "q_id"), F.col("id") == F.col("q_id")).select("id", "v", "leaf", "block", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(groups)).cast("int").alias("grp"))
+    asked = queries.withColumn("grp", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(groups)).cast("int"))
+    asked = asked.mapInArrow(visit, "leaf int, block int, grp int, ids binary, vectors binary")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"q": [], "id": [], "score": []})
-        a, b, s = _best(np.stack(right["v"]), right["id"].to_numpy(), np.stack(left["v"]), left["id"].to_numpy(), k)
-        return pd.DataFrame({"q": a, "id": b, "score": s})
+        vid, vectors, out = left["id"].to_numpy(), np.stack(left["v"]), []
+        for ids, raw in zip(right["ids"], right["vectors"]):
+            out.append(_best(np.frombuffer(raw, np.float64).reshape(-1, dim), np.frombuffer(ids, np.int64), vectors, vid, k))
+        return pd.DataFrame({"q": np.concatenate([x[0] for x in out]), "id": np.concatenate([x[1] for x in out]), "score": np.concatenate([x[2] for x in out])})
 
     by = ["leaf", "block", "grp"]
     found = rows.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(search, "q long, id long, score double")
