@@ -13,6 +13,7 @@ from .mixing import mix, word_count
 from .neighbours import nearest
 from .secrets import scan_secrets
 from .sharding import feistel_shards
+from .substrings import remove_repeats
 from .token_output import ids_table
 from .toxicity import fold, score_toxicity
 from .warc import read_warc, write_warc
@@ -41,6 +42,14 @@ def op1_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_removed = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return remove_repeats(spark, docs).select(
+        "doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op3_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(spark, rows, rows.where(F.col("vec_id") % 20 == 0), 20)
@@ -90,6 +99,7 @@ def op10_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_sharding": op1_feistel_sharding,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_kmeans_tree_neighbours": op3_kmeans_tree_neighbours,
     "op4_linked_secrets": op4_linked_secrets,
     "op5_weighted_mix": op5_weighted_mix,
