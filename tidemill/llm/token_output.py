@@ -18,6 +18,7 @@ from __future__ import annotations
 import bisect
 import json
 import os
+import re
 import uuid
 import zlib
 
@@ -40,7 +41,13 @@ BLOCK = 1 << 18
 #: Ids in a shard's file (the document that passes the mark belongs to it still).
 SHARD_IDS = 1 << 23
 LOWEST = -(1 << 63)
-_CACHE_MOST = 400_000
+#: Pieces that a worker's cache holds, about 200 bytes each; later ones are encoded each time.
+_CACHE_MOST = 500_000
+#: Marks that combine with letters before them, and a stop or comma after another sign.
+_MARKS = re.compile("[\u02be\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
+_ADJACENT = re.compile(r"[.,](?<![^\W_][.,])(?<!\s[.,]) ")
+#: Letters that no normal form and no lower case changes.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
 
 
 # ------------------------------------------------------------------ rANS
@@ -112,22 +119,46 @@ def decode_block(raw: bytes, n: int, table: Table) -> np.ndarray:
 # ------------------------------------------------------------ tokenising
 
 
-class Encoder:
-    """A tokenizer with a cache of words between blanks.
+class _Cache(dict):
+    """Notes the keys that it is asked for in vain."""
+
+    def __init__(self, start):
+        super().__init__(start)
+        self.missed: list[str] = []
+
+    def __missing__(self, word: str) -> bytes:
+        self.missed.append(word)
+        return b""
 
-    Sound for tokenizers that drop white space and never merge across it, as
-    those of this kind do: what stands between blanks is then encoded by itself.
+
+class Encoder:
+    """A tokenizer with a cache of what stands between blanks.
+
+    Sound for tokenizers that put texts in lower case, drop white space, never
+    merge across it and part letters from punctuation, as those of this kind do:
+    pieces between blanks are then encoded by themselves, and a full stop or comma after a
+    letter is a piece of its own.  Texts in which lower case or such a cut could
+    matter (combining marks, punctuation in a row, special tokens) keep their case, their words, or go
+    to the tokenizer as they are.
     """
 
     _made: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same without its normaliser, for texts that it leaves as they are.
+        self.normal = Tokenizer.from_file(path)
+        self.normal.normalizer = normalizers.Sequence([])
         self.size = self.tokenizer.get_vocab_size()
-        self.cache: dict[str, bytes] = {"": b""}
+        self.type = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.cache = _Cache({"": b""})
+        #: Ids that end a word, if the tokenizer marks them; each run of letters has one, its last.
+        self.last = np.zeros(self.size, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -135,16 +166,49 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def ids(self, text: str | None) -> np.ndarray:
-        words = (text or "").replace("\n", " ").split(" ")
-        new = [w for w in set(words) if w not in self.cache]
+    def plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Encode new pieces: runs of letters many in one text, others one by one."""
+        out: dict[str, bytes] = {}
+        letters = [w for w in words if _LETTERS.fullmatch(w)]
+        for i in range(0, len(letters), 256):
+            part = letters[i : i + 256]
+            ids = np.array(self.normal.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.type)
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) == len(part):
+                raw, k = ids.tobytes(), ids.itemsize
+                out.update(zip(part, [raw[k * a : k * b] for a, b in zip([0, *ends], ends)]))
+        rest = [w for w in words if w not in out]
+        out.update((w, np.array(e.ids, self.type).tobytes()) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
+        return out
+
+    def pieces(self, text: str) -> list[str]:
+        if text.isascii() or not _MARKS.search(text):
+            text = text.encode().lower().decode()
+        text = text.replace("\n", " ")
+        if not _ADJACENT.search(text):
+            text = (text + " ").replace(". ", " . ").replace(", ", " , ")
+        return text.split(" ")
+
+    def ids(self, text: str | None) -> bytes:
+        """The ids of a whole text, as bytes of ``type``."""
+        text = text or ""
+        if "<|" in text:
+            return self.plain(text).tobytes()
+        words, new = self.pieces(text), self.cache.missed
+        out = b"".join(map(self.cache.__getitem__, words))
         if new:
-            if len(self.cache) > _CACHE_MOST:
-                self.cache = {"": b""}
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([self.cache[w] for w in words]), "<u4")
+            full = len(self.cache) > _CACHE_MOST
+            learnt = self._learn(list(dict.fromkeys(new)))
+            new.clear()
+            self.cache.update(learnt)
+            out = b"".join(map(self.cache.__getitem__, words))
+            if full:
+                for w in learnt:
+                    del self.cache[w]
+        return out
 
 
 # ----------------------------------------------------------- the operator
@@ -157,14 +221,14 @@ def _fs(path: str):
 def write_ids(spark: SparkSession, docs: DataFrame, out: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2) -> str:
     """Tokenise every whole text and write the ids in ascending key order under ``out``; returns ``out``.
 
-    Two passes read the texts: the first counts ids for the shared table and for
-    the starts, the second encodes.  Shards are ranges of keys with SHARD_IDS ids
+    The texts are read and tokenised once; the ids wait in a table until they are counted
+    for the shared frequencies and for the starts, and are then encoded.  Shards are ranges of keys with SHARD_IDS ids
     each, found from a distributed prefix sum, so they depend on the data alone.
     A task writes a shard under a temporary name and renames it; a repeated task
     writes the same bytes.  The manifest comes last.
 
     Null texts are empty: they hold the end id alone.  Rows with the same key stay
-    together, in the order of their texts; null keys come first.  An empty table gives
+    together, in the order of their ids; null keys come first.  An empty table gives
     an empty manifest.  Other columns are ignored, whatever their names.
     """
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
@@ -172,18 +236,19 @@ def write_ids(spark: SparkSession, docs: DataFrame, out: str, tokenizer: str, ke
     def count(batches):
         enc = Encoder.at(tokenizer)
         counts = np.zeros(max(enc.size, end_id + 1), np.int64)
-        for batch in batches:
-            sizes = np.empty(batch.num_rows, np.int64)
-            for i, t in enumerate(batch.column(1)):
-                ids = enc.ids(t.as_py())
-                sizes[i] = len(ids) + 1
-                np.add.at(counts, ids, 1) if len(ids) < 1000 else np.add(counts, np.bincount(ids, minlength=len(counts)), out=counts)
-                counts[end_id] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column(0), pa.array(sizes)], names=["kind", "a", "b"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                batch = whole.slice(i, 500)
+                found = [enc.ids(t) for t in batch.column(1).to_pylist()]
+                sizes = np.array([len(x) for x in found], np.int64) // np.dtype(enc.type).itemsize + 1
+                counts += np.bincount(np.frombuffer(b"".join(found), enc.type), minlength=len(counts))
+                counts[end_id] += len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(found), np.int32)), batch.column(0), pa.array(sizes), pa.array(found, type=pa.binary())], names=names)
         have = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(have), np.int32)), pa.array(have), pa.array(counts[have])], names=["kind", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(have), np.int32)), pa.array(have), pa.array(counts[have]), pa.nulls(len(have), pa.binary())], names=names)
 
-    counted, counted_at = written(spark, docs.mapInArrow(count, "kind int, a long, b long"), "counts")
+    names = ["kind", "a", "b", "ids"]
+    counted, counted_at = written(spark, docs.mapInArrow(count, "kind int, a long, b long, ids binary"), "counts")
     per_id = counted.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).collect()  # at most the vocabulary
     counts = np.zeros(max([end_id, *(r["a"] for r in per_id)]) + 1, np.int64)
     for r in per_id:
@@ -207,19 +272,19 @@ def write_ids(spark: SparkSession, docs: DataFrame, out: str, tokenizer: str, ke
         enc, (_, starts, freq) = Encoder.at(tokenizer), bounds.value
         table, now = Table(freq), None
         for batch in batches:
-            for s, k, null, t in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
+            for s, k, null, ids in zip(*(c.to_pylist() for c in batch.columns)):
                 if now is None or now.shard != s:
                     if now is not None:
                         yield now.closed()
                     now = _Writer(out, s, starts[s], table)
-                now.add(0 if null else k, null, enc.ids(t.as_py()), end_id)
+                now.add(0 if null else k, null, np.frombuffer(ids, enc.type), end_id)
         if now is not None:
             yield now.closed()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.withColumn("k", F.coalesce("key", F.lit(LOWEST)))
-    rows = keyed.select(shard_of("k").alias("shard"), "k", F.col("key").isNull().alias("null"), "text")
-    rows = rows.repartition(n, "shard").sortWithinPartitions("shard", "k", "text")
+    keyed = counted.where("kind = 0").withColumn("k", F.coalesce("a", F.lit(LOWEST)))
+    rows = keyed.select(shard_of("k").alias("shard"), "k", F.col("a").isNull().alias("null"), "ids")
+    rows = rows.repartition(n, "shard").sortWithinPartitions("shard", "k", "ids")
     rows.mapInArrow(write, "shard long, file string, start long, ids long, docs long, bytes long").write.parquet(f"{out}/manifest")
     bounds.unpersist()
     removed(spark, counted_at)
@@ -241,7 +306,7 @@ class _Writer:
         self.keys.append(key)
         self.nulls.append(null)
         self.sizes.append(len(ids) + 1)
-        self.ids += [ids, np.array([end_id], "<u4")]
+        self.ids += [ids.astype("<u4"), np.array([end_id], "<u4")]
         self.held += len(ids) + 1
         if self.held >= BLOCK:
             whole = np.concatenate(self.ids)
