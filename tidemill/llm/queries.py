@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_path
 from .decontamination import find_contamination
+from .jaccard import similar_groups
 from .mixing import mix, word_count
 from .neighbours import nearest
 from .secrets import scan_secrets
@@ -76,6 +77,10 @@ def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, out, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_partition_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_table(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_linked_secrets": op4_linked_secrets,
     "op5_weighted_mix": op5_weighted_mix,
     "op6_warc_archives": op6_warc_archives,
+    "op7_partition_jaccard": op7_partition_jaccard,
     "op8_rans_token_ids": op8_rans_token_ids,
     "op9_benchmark_windows": op9_benchmark_windows,
     "op10_nnpu_toxicity": op10_nnpu_toxicity,
