@@ -61,7 +61,7 @@ def segments(data: np.ndarray, length: int):
             at = (low & _POSITION).astype(np.int64)
             edge = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
             firsts.append((start + edge, start + at[edge]))
-            keys.append(h[at[edge]])
+            keys.append(mix64(h[at[edge]] + np.uint64(1)))  # the smallest of many are small: mixed, they spread over all values
     first, anchor, key = np.concatenate([x[0] for x in firsts]), np.concatenate([x[1] for x in firsts]), np.concatenate(keys)
     # a segment that a chunk's end has cut goes on in the next chunk
     new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
@@ -232,22 +232,28 @@ def find_repeats(spark: SparkSession, docs: DataFrame, text: str, length: int =
 
     def cut_out(batches):
         names = ["key", "sid", "seen", "tid", "first", "n", "anchor", "bytes"]
+
+        def batch_of(numbers, tids, raws):
+            key, seen, first, n, anchor = (np.concatenate(x) for x in zip(*numbers))
+            sids = [hashlib.md5(r).digest() for r in raws]
+            cols = [key, sids, seen, tids, first, n.astype(np.int32), anchor.astype(np.int32), raws]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
         for batch in batches:
-            rows = []
+            numbers, tids, raws = [], [], []
             for data in _each(batch.column(0)):
                 first, n, anchor, key = segments(data, length)
                 keep = np.flatnonzero(known.value.has(key)) if known is not None else np.arange(len(key))
                 if len(keep):
-                    tid, whole = _identity(data), data.tobytes()
-                    own = (key[keep].view(np.int64), _occurrences(tid, first[keep]), first[keep], n[keep], anchor[keep] - first[keep])
-                    for k, s, f, m, p in zip(*(x.tolist() for x in own)):
-                        raw = whole[f : f + m - 1 + length]
-                        rows.append((k, hashlib.md5(raw).digest(), s, tid, f, m, p, raw))
-                if len(rows) > 8000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                    tid, whole, f = _identity(data), data.tobytes(), first[keep]
+                    numbers.append((key[keep].view(np.int64), _occurrences(tid, f), f, n[keep], anchor[keep] - f))
+                    raws += [whole[a:b] for a, b in zip(f.tolist(), (f + n[keep] - 1 + length).tolist())]
+                    tids += [tid] * len(keep)
+                if len(raws) > 8000:
+                    yield batch_of(numbers, tids, raws)
+                    numbers, tids, raws = [], [], []
+            if raws:
+                yield batch_of(numbers, tids, raws)
 
     found = texts.mapInArrow(cut_out, "key long, sid binary, seen long, tid binary, first long, n int, anchor int, bytes binary")
     if known is None:
@@ -304,31 +310,40 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, text: str = "text", len
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("removed_spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())])
     at, n_cols = docs.columns.index(text), len(docs.columns)
-    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut_out(batches):
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 batch = whole.slice(i, 500)
-                sizes, spans, kept = [], [], []
-                for data, all_of_it, parts in zip(_each(batch.column(at)), batch.column(n_cols).to_pylist(), batch.column(n_cols + 1).to_pylist()):
-                    edge = np.zeros(len(data) + 1, np.int32)
-                    if all_of_it:
-                        edge[0], edge[len(data)] = 1, -1
-                    for part in parts or ():
-                        if part["mask"] is None:
-                            edge[part["first"]] += 1
-                            edge[part["first"] + part["n"] - 1 + length] -= 1
-                        else:
-                            starts = part["first"] + np.flatnonzero(np.unpackbits(np.frombuffer(part["mask"], np.uint8), count=part["n"], bitorder="little"))
-                            np.add.at(edge, starts, 1)
-                            np.add.at(edge, starts + length, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    turn = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-                    sizes.append(len(data))
-                    spans.append([{"start": a, "end": b} for a, b in zip(np.flatnonzero(turn > 0).tolist(), np.flatnonzero(turn < 0).tolist())])
-                    kept.append(data[~gone].tobytes())
-                cols = [*batch.columns[:n_cols], pa.array(sizes, pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.binary())]
+                data, offs = utf8(batch.column(at))
+                base = offs + np.arange(len(offs))  # a place more after each text, so that spans end there
+                edge = np.zeros(int(base[-1]) + 1, np.int32)
+                full = np.flatnonzero(batch.column(n_cols).fill_null(False).to_numpy(zero_copy_only=False))
+                np.add.at(edge, base[full], 1)
+                np.add.at(edge, base[full + 1] - 1, -1)
+                lists = batch.column(n_cols + 1)
+                parts = lists.flatten()
+                if len(parts):
+                    doc = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+                    first = base[doc] + parts.field("first").to_numpy()
+                    n, masks = parts.field("n").to_numpy(), parts.field("mask")
+                    plain = masks.is_null().to_numpy(zero_copy_only=False)
+                    np.add.at(edge, first[plain], 1)
+                    np.add.at(edge, first[plain] + n[plain] - 1 + length, -1)
+                    raw, at_byte = utf8(masks)
+                    bits = np.flatnonzero(np.unpackbits(raw, bitorder="little"))
+                    part = np.searchsorted(at_byte, bits >> 3, side="right") - 1
+                    starts = first[part] + bits - 8 * at_byte[part]
+                    np.add.at(edge, starts, 1)
+                    np.add.at(edge, starts + length, -1)
+                gone = np.cumsum(edge) > 0
+                turn = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+                a, b = np.flatnonzero(turn > 0), np.flatnonzero(turn < 0)
+                doc = np.searchsorted(base, a, side="right") - 1
+                lists = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=batch.num_rows))]).astype(np.int32)
+                spans = pa.ListArray.from_arrays(pa.array(lists), pa.StructArray.from_arrays([pa.array(a - base[doc]), pa.array(b - base[doc])], ["start", "end"]))
+                kept = [data[x:y][~gone[x + k : y + k]].tobytes() for k, (x, y) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist()))]
+                cols = [*batch.columns[:n_cols], pa.array(np.diff(offs)), spans, pa.array(kept, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:n_cols], "n_bytes", "removed_spans", "kept"])
 
     return rows.mapInArrow(cut_out, schema)
