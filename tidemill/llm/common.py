@@ -118,6 +118,53 @@ def numbered(spark: SparkSession, df: DataFrame, order: list[str], value: str |
     return rows.mapInArrow(number, schema)
 
 
+# ------------------------------------------------------------ key filter
+
+#: Bits of a filter: at 16 a key, so at most 32 MB; callers with more keys go another way.
+FILTER_BITS = 1 << 28
+
+
+class KeyFilter:
+    """Two bits of each of a table's 64-bit keys: has all of them, and few others."""
+
+    def __init__(self, slices: dict[int, bytes], bits: int):
+        self.bits = bits
+        self.words = np.zeros(256 * bits // 8, np.uint8)
+        for i, raw in slices.items():
+            self.words[i * bits // 8 : (i + 1) * bits // 8] = np.frombuffer(raw, np.uint8)
+
+    @staticmethod
+    def places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        return keys & np.uint64(bits - 1), (keys >> np.uint64(28)) & np.uint64(bits - 1)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        base = (keys >> np.uint64(56)) * np.uint64(self.bits)
+        out = np.ones(len(keys), bool)
+        for p in self.places(keys, self.bits):
+            at = base + p
+            out &= (self.words[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def key_filter(keys: DataFrame, count: int) -> KeyFilter:
+    bits = 1 << max(10, (16 * max(1, count) // 256 - 1).bit_length())
+
+    def build(batches):
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            keys = batch.column(1).to_numpy().view(np.uint64)
+            for s in np.unique(batch.column(0).to_numpy()):
+                word = own.setdefault(int(s), np.zeros(bits, bool))
+                for p in KeyFilter.places(keys[batch.column(0).to_numpy() == s], bits):
+                    word[p] = True
+        if own:
+            raw = [np.packbits(w, bitorder="little").tobytes() for w in own.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array(raw, pa.binary())], names=["slice", "raw"])
+
+    sliced = keys.select(F.shiftrightunsigned("key", 56).cast("int").alias("slice"), "key").repartition("slice")
+    return KeyFilter({r["slice"]: r["raw"] for r in sliced.mapInArrow(build, "slice int, raw binary").collect()}, bits)  # FILTER_BITS at most, together
+
+
 # -------------------------------------------------------- text as bytes
 
 

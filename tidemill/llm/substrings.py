@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BASE, _BYTE, _powers_of, cut, fresh, mix64, utf8, written
+from .common import _BASE, _BYTE, FILTER_BITS, _powers_of, cut, fresh, key_filter, mix64, utf8, written
 from .induced import suffix_array
 
 #: Bytes of an anchor, and of text hashed at a time.
@@ -30,8 +30,6 @@ CHUNK = 1 << 18
 #: Bytes of segments in a shard, and segments of one anchor beyond which its strings are dealt out in smaller pieces.
 SHARD = 6 << 20
 HOT, PIECE = 20_000, 8
-#: Bits of the broadcast filter of repeated anchors: 16 an anchor, so at most 32 MB; more anchors go through a semi join.
-FILTER_BITS = 1 << 28
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -84,47 +82,6 @@ def _each(column: pa.Array):
         yield data[a:b]
 
 
-class _Filter:
-    """Two bits of each repeated anchor; 256 slices by the anchor's first byte."""
-
-    def __init__(self, slices: dict[int, bytes], bits: int):
-        self.bits = bits
-        self.words = np.zeros(256 * bits // 8, np.uint8)
-        for i, raw in slices.items():
-            self.words[i * bits // 8 : (i + 1) * bits // 8] = np.frombuffer(raw, np.uint8)
-
-    @staticmethod
-    def places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        return keys & np.uint64(bits - 1), (keys >> np.uint64(28)) & np.uint64(bits - 1)
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        base = (keys >> np.uint64(56)) * np.uint64(self.bits)
-        out = np.ones(len(keys), bool)
-        for p in self.places(keys, self.bits):
-            at = base + p
-            out &= (self.words[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        return out
-
-
-def _filter(repeated: DataFrame, count: int) -> _Filter:
-    bits = 1 << max(10, (16 * max(1, count) // 256 - 1).bit_length())
-
-    def build(batches):
-        own: dict[int, np.ndarray] = {}
-        for batch in batches:
-            keys = batch.column(1).to_numpy().view(np.uint64)
-            for s in np.unique(batch.column(0).to_numpy()):
-                word = own.setdefault(int(s), np.zeros(bits, bool))
-                for p in _Filter.places(keys[batch.column(0).to_numpy() == s], bits):
-                    word[p] = True
-        if own:
-            raw = [np.packbits(w, bitorder="little").tobytes() for w in own.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array(raw, pa.binary())], names=["slice", "raw"])
-
-    sliced = repeated.select(F.shiftrightunsigned("key", 56).cast("int").alias("slice"), "key").repartition("slice")
-    return _Filter({r["slice"]: r["raw"] for r in sliced.mapInArrow(build, "slice int, raw binary").collect()}, bits)  # FILTER_BITS at most, together
-
-
 def _repeats(length: int):
     """mapInArrow function: rows (key, id, bytes) in order of key to (key, id, mask of the strings that occur again).
 
@@ -227,7 +184,7 @@ def find_repeats(spark: SparkSession, docs: DataFrame, text: str, length: int =
     counted = texts.mapInArrow(anchors, "key long, seen long").groupBy("key").agg(F.min("seen").alias("a"), F.max("seen").alias("b"))
     repeated, repeated_at = written(spark, counted.where("a <> b").select("key"), "anchors")
     count = repeated.count()
-    known = spark.sparkContext.broadcast(_filter(repeated, count)) if 16 * count <= FILTER_BITS else None
+    known = spark.sparkContext.broadcast(key_filter(repeated, count)) if 16 * count <= FILTER_BITS else None  # else through a semi join
     types = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
     def cut_out(batches):
@@ -260,13 +217,12 @@ def find_repeats(spark: SparkSession, docs: DataFrame, text: str, length: int =
         found = found.join(repeated.withColumnRenamed("key", "r"), F.col("key") == F.col("r"), "left_semi")
     found, found_at = written(spark, found, "segments")
 
-    # anchors with one segment in several places are repeats as they are; those with several segments are sorted
-    by_key = found.groupBy("key").agg((F.min("seen") != F.max("seen")).alias("again"), (F.min("sid") != F.max("sid")).alias("hard")).where("again").select("key", "hard")
-    by_key = cut(spark, by_key)
-    hard = by_key.where("hard").select(F.col("key").alias("h"))
-    contents = found.join(hard, F.col("key") == F.col("h"), "left_semi")
-    contents = contents.groupBy("key", F.col("sid").alias("id")).agg((F.min("seen") != F.max("seen")).alias("twice"), F.min("anchor").alias("anchor"), F.first("bytes").alias("bytes"))
+    # each segment once; anchors with one segment in several places are repeats as they are, those with several are sorted
+    contents = found.groupBy("key", F.col("sid").alias("id")).agg(F.min("seen").alias("a"), F.max("seen").alias("b"), F.min("anchor").alias("anchor"), F.first("bytes").alias("bytes"))
     contents, contents_at = written(spark, contents, "contents")
+    by_key = contents.groupBy("key").agg((F.min("a") != F.max("b")).alias("again"), (F.min("id") != F.max("id")).alias("hard")).where("again").select("key", "hard")
+    by_key = cut(spark, by_key)
+    contents = contents.join(by_key.where("hard").select(F.col("key").alias("h")), F.col("key") == F.col("h"), "left_semi").select("key", "id", (F.col("a") != F.col("b")).alias("twice"), "anchor", "bytes")
     hot = cut(spark, contents.groupBy("key").count().where(F.col("count") > HOT).select(F.col("key").alias("k")))
     plain = contents.join(hot, F.col("key") == F.col("k"), "left_anti")
     masks = _sorted(plain, length).select("key", F.col("id").alias("sid"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("m"), "mask")
