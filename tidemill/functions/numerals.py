@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values.
 DIGITS = "〇一二三四五六七八九"
@@ -31,7 +32,7 @@ def _read(text: str | None, units: str, positional: str) -> int | None:
 
 
 def _column(units: str, positional: str):
-    @F.pandas_udf("long")
+    @F.pandas_udf(T.LongType())
     def read(text: pd.Series) -> pd.Series:
         return text.map(lambda t: _read(t, units, positional)).astype("Int64")
 

@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -51,7 +52,7 @@ def escape_html(text: Column) -> Column:
 
 def escape_ics(text: Column) -> Column:
     out = text
-    for a, b in (("\\", "\\\\"), (";", "\;"), (",", "\\,"), ("\r\n", "\\n"), ("\n", "\\n")):
+    for a, b in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\r\n", "\\n"), ("\n", "\\n")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
@@ -126,26 +127,26 @@ def iso_dates(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(marked, r"-0([0-9]{2})-", "-$1-"), r"-0([0-9]{2})(?![0-9])", "-$1")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def title_key(text: pd.Series) -> pd.Series:
     """NFKC, case folded, without punctuation, symbols and white space."""
     drop = lambda t: "".join(c for c in unicodedata.normalize("NFKC", t).casefold() if unicodedata.category(c)[0] not in "PSZC")
     return text.map(lambda t: None if t is None else drop(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def clean_markup(text: pd.Series) -> pd.Series:
     """Entities resolved, tags dropped, entities resolved again, white space collapsed."""
     tags = re.compile(r"<[^>]*>")
     return text.map(lambda t: None if t is None else " ".join(_html.unescape(tags.sub(" ", _html.unescape(t))).split()))
 
 
-@F.pandas_udf("array<struct<kind:string,old:string,new:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "old", "new")])))
 def change_spans(old: pd.Series, new: pd.Series) -> pd.Series:
     """At most 12 changed spans between two texts."""
 
@@ -156,7 +157,7 @@ def change_spans(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([spans(a, b) for a, b in zip(old, new)])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def folded_ics(line: pd.Series) -> pd.Series:
     """Lines of at most 75 octets, never cut within a character; later ones begin with a blank."""
 

@@ -358,20 +358,23 @@ def rate_blockers(spark, d):
     return r.select("lang", (F.col("toxic1") > F.col("toxic0")).alias("toxic_worse"), (F.col("quality1") < F.col("quality0")).alias("quality_worse"))
 
 
-_CHECKS = {"short": F.col("n_chars") < 200, "mail": F.col("text").contains("@"), "no_stop": ~F.col("text").contains("."), "secret": F.col("text").rlike("(?:token|password)")}
+def _checks():
+    return {"short": F.col("n_chars") < 200, "mail": F.col("text").contains("@"), "no_stop": ~F.col("text").contains("."), "secret": F.col("text").rlike("(?:token|password)")}
+
+
 _FINDINGS = """SELECT doc_id, unnest(list_filter([CASE WHEN n_chars < 200 THEN 'short' END, CASE WHEN contains(text, '@') THEN 'mail' END, CASE WHEN NOT contains(text, '.') THEN 'no_stop' END, CASE WHEN regexp_matches(text, 'token|password') THEN 'secret' END], lambda x: x IS NOT NULL)) AS "check" FROM documents"""
 
 
 @query("audit_findings", _FINDINGS)
 def audit_findings(spark, d):
-    return compare.findings(table(spark, d, "documents"), "doc_id", _CHECKS)
+    return compare.findings(table(spark, d, "documents"), "doc_id", _checks())
 
 
 @query("audit_breaker", f"""WITH p AS (SELECT doc_id, min(CASE "check" WHEN 'secret' THEN 'withhold' WHEN 'mail' THEN 'review' ELSE 'zz_note' END) AS action FROM ({_FINDINGS}) GROUP BY 1)
 SELECT doc_id, action FROM p WHERE NOT (action = 'review' AND (SELECT count(*) FROM p WHERE action = 'review') > 15)""")
 def audit_breaker(spark, d):
     action = F.when(F.col("check") == "secret", "withhold").when(F.col("check") == "mail", "review").otherwise("zz_note")
-    plan = compare.findings(table(spark, d, "documents"), "doc_id", _CHECKS).groupBy("doc_id").agg(F.min(action).alias("action"))
+    plan = compare.findings(table(spark, d, "documents"), "doc_id", _checks()).groupBy("doc_id").agg(F.min(action).alias("action"))
     held = plan.groupBy("action").count().where((F.col("action") == "review") & (F.col("count") > 15)).select(F.col("action").alias("a"))
     return plan.join(held, F.col("action") == F.col("a"), "left_anti")
 
