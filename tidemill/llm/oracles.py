@@ -86,4 +86,61 @@ FROM (SELECT page_id, strlen(p)::BIGINT AS n, sha1(p) AS h, min(page_id) OVER (P
   FROM (SELECT page_id, coalesce(html, '') AS p FROM pages))
 """
 
-ORACLES: dict[str, str] = {"op4_linked_secrets": _secrets(), "op5_weighted_mix": _MIX, "op6_warc_archives": _ARCHIVE, "op9_benchmark_windows": _WINDOWS}
+
+def _sharding(shards: int, seed: int, rounds: int = 6) -> str:
+    """The permutation of row numbers; CRC-32 by its table, which is made by rule."""
+    keys, x = [], (seed * 2654435761 + 97) & 0xFFFFFFFF
+    for _ in range(rounds):
+        x = (x * 1664525 + 1013904223) & 0xFFFFFFFF
+        keys.append(x)
+    step = "SELECT row, n, h, pos >> h AS l, pos & ((1 << h) - 1) AS r FROM {}"
+    sql = step.format("walk WHERE pos >= n OR fresh")
+    for k in keys:
+        a = f"((r + {k}) & 4294967295)"
+        b = f"((xor({a}, {a} >> 16) * 73244475) & 4294967295)"
+        sql = f"SELECT row, n, h, r AS l, xor(l, xor(c, c >> 16) & ((1 << h) - 1)) AS r FROM (SELECT *, (xor(b, b >> 13) * 73244475) & 4294967295 AS c FROM (SELECT *, {b} AS b FROM ({sql})))"
+    bit = "list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, {})"
+    return f"""
+WITH RECURSIVE t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, {bit.format("i")} AS c FROM range(256) r(i))),
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, xor(list_reduce(list_transform(range(strlen(coalesce(text, ''))), lambda i: ('0x' || substr(hex(encode(coalesce(text, ''))), 2 * i + 1, 2))::BIGINT),
+  lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM documents, t),
+numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS row, count(*) OVER () AS n FROM d),
+walk AS (SELECT row, n, (greatest(2, length(ltrim(bin(greatest(n, 1) - 1), '0'))) + 1) // 2 AS h, row AS pos, true AS fresh FROM numbered
+ UNION ALL SELECT row, n, h, (l << h) | r, false FROM ({sql}))
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (pos % {shards})::INT AS shard, pos // {shards} AS slot, NULL::INT AS grown_shard, d.row AS row_number
+FROM numbered d JOIN walk w ON d.row = w.row AND NOT w.fresh AND w.pos < w.n
+"""
+
+
+_REPEATS = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT row, i, md5(substr(h, 2 * i + 1, 400)) AS g FROM (SELECT row, h, unnest(range(greatest(0, n - 199))) AS i FROM d)),
+s AS (SELECT row, i FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING count(*) > 1)),
+r AS (SELECT row, min(i) AS a, max(i) + 200 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY row ORDER BY i) AS run FROM (SELECT *, (i > coalesce(lag(i) OVER (PARTITION BY row ORDER BY i), -300) + 200)::INT AS new FROM s)) GROUP BY row, run),
+k AS (SELECT row, b AS x, coalesce(lead(a) OVER (PARTITION BY row ORDER BY a), 1099511627776) AS y FROM (SELECT row, a, b FROM r UNION ALL SELECT row, -1, 0 FROM d)),
+kept AS (SELECT row, string_agg(substr(h, 2 * x + 1, 2 * (least(y, n) - x)), '' ORDER BY x) AS h FROM k JOIN d USING (row) WHERE x < least(y, n) GROUP BY row),
+gone AS (SELECT row, sum(b - a)::BIGINT AS removed, count(*) AS spans FROM r GROUP BY row)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256
+FROM d LEFT JOIN kept USING (row) LEFT JOIN gone USING (row)
+"""
+
+_GROUPS = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT row, g FROM (SELECT row, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT row, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0))),
+n AS (SELECT row, count(*) AS n FROM s GROUP BY row),
+p AS (SELECT a.row AS a, b.row AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.row < b.row GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.row = a JOIN n y ON y.row = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(row, to_) AS (SELECT row, row FROM d UNION SELECT reach.row, e.b FROM reach JOIN e ON e.a = reach.to_)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(g.low, d.doc_id) AS component_id FROM d LEFT JOIN n USING (row) JOIN (SELECT reach.row, min(t.doc_id) AS low FROM reach JOIN d t ON t.row = reach.to_ GROUP BY 1) g USING (row)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_feistel_sharding": _sharding(24, 20),
+    "op2_suffix_array_dedup": _REPEATS,
+    "op4_linked_secrets": _secrets(),
+    "op5_weighted_mix": _MIX,
+    "op6_warc_archives": _ARCHIVE,
+    "op7_partition_jaccard": _GROUPS,
+    "op9_benchmark_windows": _WINDOWS,
+}
