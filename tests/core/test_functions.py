@@ -100,6 +100,6 @@ def test_numerals_differ_on_purpose(spark):
     from tidemill.functions.numerals import free_number, short_number, strict_number
 
     rows = ["三百二十一", "二〇二四", "千五", "十", "12", "x", None]
-    assert values(spark, rows, short_number("t")) == [321, None, None, 10, 12, None, None] or values(spark, rows, short_number("t"))[0] == 321
+    assert values(spark, rows, short_number("t")) == [321, None, None, 10, 12, None, None]
     assert values(spark, rows, free_number("t")) == [321, 2024, 1005, 10, 12, None, None]
     assert values(spark, rows, strict_number("t"))[:4] == [321, 2024, 1005, 10]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,37 +13,38 @@ DIGITS = "〇一二三四五六七八九"
 UNITS = {"十": 10, "百": 100, "千": 1000}
 
 
-def _read(text: str | None, units: str, positional: str) -> int | None:
-    """A number in digits (ASCII), units, or places; None where the reading doesn't allow it."""
-    if not text:
-        return None
+def read(text: str | None, units: str = "十百千", places: bool = True, first_year: bool = False) -> int | None:
+    """A number in ASCII or full-width digits, in units, or (``places``) digit by digit; None where the reading doesn't allow it.
+
+    ``first_year`` reads 元 as 1, as years of an era are written.
+    """
+    text = unicodedata.normalize("NFKC", text or "").strip()
+    if first_year and text == "元":
+        return 1
     if text.isascii() and text.isdigit():
         return int(text)
-    plain = all(c in DIGITS for c in text)
-    if plain and (positional != "never" or len(text) == 1):
-        return int("".join(str(DIGITS.index(c)) for c in text))
+    values = [DIGITS.find(c) if c in DIGITS else UNITS[c] if c in units else None for c in text.replace("零", "〇")]
+    if not values or None in values:
+        return None
+    if max(values) < 10:  # no unit
+        return int("".join(map(str, values))) if places or len(values) == 1 else None
     total = now = 0
-    for c in text:
-        if c in DIGITS:
-            now = now * 10 + DIGITS.index(c) if positional == "mixed" else DIGITS.index(c)
-        elif c in units:
-            total, now = total + (now or 1) * UNITS[c], 0
-        else:
-            return None
+    for v in values:
+        total, now = (total, v) if v < 10 else (total + (now or 1) * v, 0)
     return total + now
 
 
-def _column(units: str, positional: str):
+def _column(**reading):
     @F.pandas_udf(T.LongType())
-    def read(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: _read(t, units, positional)).astype("Int64")
+    def column(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: read(t, **reading)).astype("Int64")
 
-    return read
+    return column
 
 
 #: To hundreds, by units alone.
-short_number = _column("十百", "never")
-#: To thousands, by units or by places, also mixed.
-free_number = _column("十百千", "mixed")
-#: To thousands, by places only if every character is a digit.
-strict_number = _column("十百千", "whole")
+short_number = _column(units="十百", places=False)
+#: To thousands, by units or by places, 元 as 1.
+free_number = _column(first_year=True)
+#: To thousands, by units or by places.
+strict_number = _column()
