@@ -98,3 +98,14 @@ def newly_seen(seen: Column, today: Column, days: int = 7) -> Column:
 
 def period_of(date: Column) -> Column:
     return F.coalesce(F.year(date).cast("string"), F.lit("undated"))
+
+
+def lookback(today: Column, days: int) -> Column:
+    """The days before today, newest first; between 1 and 31 of them."""
+    n = min(31, max(1, days))
+    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.date_sub(today, i))
+
+
+def stage_by_dates(promulgated: Column, effective: Column, today: Column) -> Column:
+    """In force once its date has come, scheduled before, promulgated without one."""
+    return F.when(effective <= today, "In Force").when(effective > today, "Scheduled to Take Effect").when(promulgated <= today, "Promulgated")

@@ -172,3 +172,14 @@ def folded_ics(line: pd.Series) -> pd.Series:
         return [*out, now]
 
     return line.map(fold)
+
+
+def localised(overlay: Column, locale: str, field: str, fallback: Column) -> Column:
+    """A field of a locale's block in map<locale, struct>, where it isn't blank; else the fallback."""
+    own = overlay[locale].getField(field)
+    return F.when(F.trim(F.coalesce(own, F.lit(""))) != "", own).otherwise(fallback)
+
+
+def haystack(*fields: Column) -> Column:
+    """What a search looks through: all fields in lower case."""
+    return F.lower(F.concat_ws("\n", *fields))

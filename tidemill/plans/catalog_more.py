@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, numerals, text
 from ..operators import caches, deadlines, documents, health, ledger, ranking, state, timeline
+from ..sources import markup
 from ..sources.shared import shared_path
 from ..sources.tables import table
 from ..streaming import twins
@@ -317,3 +318,27 @@ SELECT user_id::VARCHAR AS key, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0
 def stream_streaks(spark, d):
     out = twins.run_once(spark, twins.streak_updates(_stream(spark, d), "user_id", "ts", "event_id", "event_type = 'error'"), shared_path(spark, "stream"), "update")
     return out.select("key", "n_bad")
+
+
+@query("page_main_text")
+def page_main_text(spark, d):
+    return table(spark, d, "pages").select("page_id", markup.page_text(F.col("html")).alias("text"))
+
+
+@query("lookback_days", "SELECT strftime(DATE '2024-03-02' - i::INT, '%Y-%m-%d') AS day FROM range(1, 8) t(i)")
+def lookback_days(spark, d):
+    days = dates.lookback(F.lit("2024-03-02").cast("date"), 7)
+    return spark.range(1).select(F.explode(days).alias("day")).select(F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+@query("law_stage_by_dates", "SELECT o_orderkey, CASE WHEN o_orderdate + INTERVAL 60 DAY <= DATE '1998-01-01' THEN 'In Force' WHEN o_orderkey % 3 > 0 THEN 'Scheduled to Take Effect' WHEN o_orderdate <= DATE '1998-01-01' THEN 'Promulgated' END AS stage FROM orders WHERE o_orderkey % 3 > 0 OR o_orderdate + INTERVAL 60 DAY > DATE '1998-01-01'")
+def law_stage_by_dates(spark, d):
+    day, today = F.col("o_orderdate").cast("date"), F.lit("1998-01-01").cast("date")
+    effective = F.when(F.col("o_orderkey") % 3 > 0, F.date_add(day, 60))
+    rows = table(spark, d, "orders").where((F.col("o_orderkey") % 3 > 0) | (F.date_add(day, 60) > today))
+    return rows.select("o_orderkey", dates.stage_by_dates(day, effective, today).alias("stage"))
+
+
+@query("search_haystack", "SELECT doc_id FROM documents WHERE contains(lower(concat_ws(chr(10), source, lang, text)), 'src1' || chr(10) || 'en')")
+def search_haystack(spark, d):
+    return table(spark, d, "documents").where(text.haystack(F.col("source"), F.col("lang"), F.col("text")).contains("src1\nen")).select("doc_id")

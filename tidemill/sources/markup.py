@@ -162,3 +162,81 @@ def is_maintenance(html: Column, words: list[str]) -> Column:
     from ..functions.rules import contains_any
 
     return contains_any(tag_text(F.substring(html, 1, 20_000), "title"), words)
+
+
+def xml_records(df: DataFrame, content: str, tag: str, fields: dict[str, str], keep: list[str]) -> DataFrame:
+    """One row for each element ``tag`` of XML documents, with the texts of named descendants; documents that are no XML have none."""
+    from pyspark.sql import types as T
+
+    row = T.StructType([T.StructField(f, T.StringType()) for f in fields])
+
+    @F.pandas_udf(T.ArrayType(row))
+    def parse(texts: pd.Series) -> pd.Series:
+        def rows(text):
+            try:
+                root = ET.fromstring((text or "").strip())
+            except ET.ParseError:
+                return []
+            named = lambda node, name: next((" ".join("".join(x.itertext()).split()) for x in node.iter() if _local(x.tag) == name.lower()), None)
+            return [{f: named(node, name) for f, name in fields.items()} for node in root.iter() if _local(node.tag) == tag.lower()]
+
+        return texts.map(rows)
+
+    return df.select(*keep, F.posexplode(parse(content)).alias("place", "r")).select(*keep, "place", "r.*")
+
+
+class _Blocks(HTMLParser):
+    """Blocks of text with how much of each is link text; navigation and scripts are left out."""
+
+    OUT = ("nav", "script", "style", "header", "footer", "aside", "form", "noscript")
+    BREAK = ("p", "div", "li", "td", "th", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "br", "dd", "dt")
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.text, self.linked, self.skip, self.in_link = [], [], 0, 0, 0
+
+    def flush(self):
+        value = " ".join("".join(self.text).split())
+        if value:
+            self.blocks.append((value, self.linked / max(1, len("".join(self.text)))))
+        self.text, self.linked = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in self.OUT
+        self.in_link += tag == "a"
+        if tag in self.BREAK:
+            self.flush()
+
+    def handle_endtag(self, tag):
+        self.skip = max(0, self.skip - (tag in self.OUT))
+        self.in_link = max(0, self.in_link - (tag == "a"))
+        if tag in self.BREAK:
+            self.flush()
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.text.append(data)
+            self.linked += len(data) * bool(self.in_link)
+
+
+def main_text(html: str | None, density: float = 0.65, least: int = 180, most: int = 4500) -> str | None:
+    """A page's own text: blocks that are links for less than ``density``, adjacent repeats once, cut to ``most``; null below ``least``."""
+    p = _Blocks()
+    p.feed(html or "")
+    p.flush()
+    kept: list[str] = []
+    for value, linked in p.blocks:
+        if linked < density and (not kept or kept[-1] != value):
+            kept.append(value)
+    text = "\n".join(kept)[:most]
+    return text if len(text) >= least else None
+
+
+def page_text(html: Column, **limits) -> Column:
+    from pyspark.sql import types as T
+
+    @F.pandas_udf(T.StringType())
+    def extract(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda h: main_text(h, **limits))
+
+    return extract(html)

@@ -57,3 +57,31 @@ def write_csv(df: DataFrame, path: str) -> None:
     rows = df.select(line.alias("value"))
     first = df.sparkSession.createDataFrame([("﻿" + head,)], "value string")
     first.coalesce(1).unionAll(rows).write.option("lineSep", "\r\n").mode("overwrite").text(path)
+
+
+def read_shards(spark: SparkSession, path: str, schema: T.StructType, periods: list[str], expected: dict[str, int]) -> DataFrame:
+    """Rows of the periods asked for; only their folders are read, and a shard whose count isn't the manifest's is an error."""
+    rows = spark.read.schema(schema).option("basePath", path).json([f"{path}/period={p}" for p in periods])
+    found = {str(r["period"]): r["count"] for r in rows.groupBy("period").count().collect()}
+    wrong = {p: (found.get(p, 0), expected.get(p)) for p in periods if found.get(p, 0) != expected.get(p)}
+    if wrong:
+        raise ValueError(f"shards differ from their manifest: {wrong}")
+    return rows
+
+
+def write_if_changed(df: DataFrame, path: str) -> bool:
+    """Write a table unless the one that is there has the same rows; says whether it was written."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    if fs.exists(at):
+        old = spark.read.schema(df.schema).parquet(path)
+        same = lambda a: a.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).first()
+        if same(old) == same(df):
+            return False
+    fresh = f"{path.rstrip('/')}.new"
+    df.write.mode("overwrite").parquet(fresh)
+    fs.delete(at, True)
+    fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), at)
+    return True
