@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, numerals, text
-from ..operators import caches, deadlines, documents, health, ledger, ranking, state, timeline
+from ..operators import caches, deadlines, documents, evidence, health, ledger, ranking, state, timeline
 from ..sources import markup
 from ..sources.shared import shared_path
 from ..sources.tables import table
@@ -342,3 +342,38 @@ def law_stage_by_dates(spark, d):
 @query("search_haystack", "SELECT doc_id FROM documents WHERE contains(lower(concat_ws(chr(10), source, lang, text)), 'src1' || chr(10) || 'en')")
 def search_haystack(spark, d):
     return table(spark, d, "documents").where(text.haystack(F.col("source"), F.col("lang"), F.col("text")).contains("src1\nen")).select("doc_id")
+
+
+@query("inverted_notes", "SELECT id, array_to_string(list_transform(list_sort(list(DISTINCT n)), lambda x: x::VARCHAR), ',') AS notes FROM (SELECT l_partkey AS id, l_orderkey AS n FROM lineitem WHERE l_quantity >= 49) GROUP BY 1")
+def inverted_notes(spark, d):
+    orders = table(spark, d, "lineitem").where("l_quantity >= 49").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("parts"))
+    return evidence.inverted(orders, "l_orderkey", F.col("parts"))
+
+
+@query("recent_or_requested", "SELECT o_orderkey, o_orderkey % 100 = 0 AND o_orderstatus <> 'F' AS missing FROM orders WHERE o_orderdate >= DATE '2001-07-01' OR o_orderkey % 100 = 0")
+def recent_or_requested(spark, d):
+    orders = table(spark, d, "orders")
+    asked = orders.where("o_orderkey % 100 = 0").select("o_orderkey")
+    return evidence.recent_or_requested(orders, F.col("o_orderdate").cast("date"), F.lit("2001-07-01").cast("date"), "o_orderkey", asked, F.col("o_orderstatus") == "F").select("o_orderkey", "missing")
+
+
+@query("canary_rows", """
+WITH f AS (SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 10 <> 0),
+a AS (SELECT doc_id, 'zz' AS lang, 'lang' AS defect FROM f WHERE lang = 'en' ORDER BY sha256('c:lang:' || doc_id), doc_id LIMIT 5),
+b AS (SELECT doc_id, upper(lang) AS lang, 'upper' AS defect FROM f WHERE n_chars > 500 AND doc_id NOT IN (SELECT doc_id FROM a) ORDER BY sha256('c:upper:' || doc_id), doc_id LIMIT 5)
+SELECT * FROM a UNION ALL SELECT * FROM b""")
+def canary_rows(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    defects = [("lang", F.col("lang") == "en", F.lit("zz")), ("upper", F.col("n_chars") > 500, F.upper("lang"))]
+    return evidence.canaries(docs, docs.where("doc_id % 10 = 0"), "doc_id", defects, "lang", 5, "c").select("doc_id", "lang", "defect")
+
+
+@query("next_actions", "SELECT doc_id, CASE WHEN n_chars < 300 THEN 'collect more' WHEN lang = 'en' THEN 'review' ELSE 'translate' END AS action FROM documents")
+def next_actions(spark, d):
+    stage = ledger.stage_ladder([("thin", F.col("n_chars") >= 300), ("foreign", F.col("lang") == "en")], "ready")
+    return table(spark, d, "documents").select("doc_id", evidence.next_action(stage, {"thin": "collect more", "foreign": "translate"}, "review").alias("action"))
+
+
+@query("fallback_names", "SELECT page_id, h || CASE WHEN split_part(h, '.', 1) <> h THEN '|' || split_part(h, '.', 1) ELSE '' END AS names FROM (SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS h FROM pages)")
+def fallback_names(spark, d):
+    return table(spark, d, "pages").select("page_id", F.array_join(evidence.shorter_names(text.host(F.col("url")), ["."]), "|").alias("names"))
