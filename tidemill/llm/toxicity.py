@@ -62,20 +62,22 @@ class Fit:
     unlabelled toxic texts.
     """
 
-    def __init__(self, doc, feature, n, positive, prior, epochs=40, batch=1024, rate=0.05, shrink=2e-4, seed=0):
-        n_pos, n_unl = int(positive.sum()), int((~positive).sum())
-        up = np.bincount(feature, weights=positive[doc], minlength=_SIZE)
-        un = np.bincount(feature, weights=~positive[doc], minlength=_SIZE)
-        # features that say something: frequent enough among the positives and away from the unlabelled rate, or very common and rarer there
-        p, u = up / max(1, n_pos), un / max(1, n_unl)
+    def __init__(self, rows: list[np.ndarray], positive: np.ndarray, prior: float, epochs=40, batch=1024, rate=0.05, shrink=2e-4, seed=0):
+        """``rows``: each text's distinct features; what isn't used is never put together, so memory stays near that of the rows."""
+        n, n_pos, n_unl = len(rows), int(positive.sum()), int((~positive).sum())
+        up, un = np.zeros(_SIZE, np.int32), np.zeros(_SIZE, np.int32)
+        for row, p in zip(rows, positive):
+            (up if p else un)[row] += 1
+        # features that say something: their rates among the positives and the unlabelled differ by more than three deviations
         both = (up + un) / max(1, n_pos + n_unl)
-        z = (p - u) / np.sqrt(np.maximum(1e-12, both * (1 - both) * (1 / max(1, n_pos) + 1 / max(1, n_unl))))
+        z = (up / max(1, n_pos) - un / max(1, n_unl)) / np.sqrt(np.maximum(1e-12, both * (1 - both) * (1 / max(1, n_pos) + 1 / max(1, n_unl))))
         self.known = np.flatnonzero((np.abs(z) > 3) & (up + un >= 3))
-        place = np.full(_SIZE, -1, np.int64)
-        place[self.known] = np.arange(len(self.known))
-        keep = place[feature] >= 0
-        doc, col = doc[keep], place[feature[keep]]
-        first = np.searchsorted(doc, np.arange(n + 1))
+        place = np.full(_SIZE, -1, np.int32)
+        place[self.known] = np.arange(len(self.known), dtype=np.int32)
+        kept = [(c := place[row])[c >= 0] for row in rows]
+        col = np.concatenate(kept) if kept else np.zeros(0, np.int32)
+        first = np.concatenate([[0], np.cumsum([len(c) for c in kept])]).astype(np.int64)
+        del kept, up, un, both, z, place
         w, bias = np.zeros(len(self.known)), float(np.log(prior / (1 - prior)))
         m, v, mb, vb, step = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0
         rng = np.random.default_rng(seed)
@@ -167,21 +169,24 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, doc_id: str = "
                 blobs = [feature[first[k] : first[k + 1]].astype("<u4").tobytes() for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(blobs, type=pa.binary())], names=["kind", "y", "fold", "i", "f"])
 
-    rows = rows.mapInArrow(extract, T.StructType([*rows.schema.fields[:4], T.StructField("f", T.BinaryType())])).toArrow().sort_by([("i", "ascending"), ("kind", "ascending")]).to_pydict()
-    kind, folds = np.array(rows["kind"], bool), np.array(rows["fold"], np.int64)
-    y = np.array([-1 if v is None else v for v in rows["y"]])
-    blobs = [np.frombuffer(b, "<u4") for b in rows["f"]]
+    table = rows.mapInArrow(extract, T.StructType([*rows.schema.fields[:4], T.StructField("f", T.BinaryType())])).toArrow().sort_by([("i", "ascending"), ("kind", "ascending")]).combine_chunks()
+    kind, folds = table.column("kind").to_numpy().astype(bool), table.column("fold").to_numpy()
+    y = table.column("y").fill_null(-1).to_numpy()
+    data, offs = utf8(table.column("f"))
+    features_ = np.frombuffer(data.tobytes(), "<u4")
+    del table, data
+    offs = offs // 4
+    row_of = lambda k: features_[offs[k] : offs[k + 1]]
     fits, values, truth = [], [], []
     for own in (0, 2):
         mine = np.flatnonzero(folds == own)
         if not kind[mine].any() or kind[mine].all():
             continue
-        doc = np.repeat(np.arange(len(mine)), [len(blobs[k]) for k in mine])
-        one = Fit(doc, np.concatenate([blobs[k] for k in mine]).astype(np.int64), len(mine), kind[mine], prior, seed=own)
+        one = Fit([row_of(k) for k in mine], kind[mine], prior, seed=own)
         fits.append(one)
         w = one.weights()
         other = [k for k in np.flatnonzero(folds != own) if y[k] >= 0]
-        values += [one.bias + w[blobs[k]].sum() for k in other]
+        values += [one.bias + w[row_of(k)].sum() for k in other]
         truth += [(y[k], kind[k]) for k in other]
     if not fits:
         return None
