@@ -269,21 +269,22 @@ def write_ids(spark: SparkSession, docs: DataFrame, out: str, tokenizer: str, ke
         return pd.Series(np.searchsorted(np.array(bounds.value[0], np.int64), k.to_numpy(), side="right") - 1)
 
     def write(batches):
-        enc, (_, starts, freq) = Encoder.at(tokenizer), bounds.value
+        _, starts, freq = bounds.value
+        Encoder._made.pop(tokenizer, None)  # a worker that has tokenised keeps its cache no longer
         table, now = Table(freq), None
         for batch in batches:
-            for s, k, null, ids in zip(*(c.to_pylist() for c in batch.columns)):
+            for s, k, null, n, ids in zip(*(c.to_pylist() for c in batch.columns)):
                 if now is None or now.shard != s:
                     if now is not None:
                         yield now.closed()
                     now = _Writer(out, s, starts[s], table)
-                now.add(0 if null else k, null, np.frombuffer(ids, enc.type), end_id)
+                now.add(0 if null else k, null, np.frombuffer(ids, "<u2" if len(ids) == 2 * (n - 1) else "<u4"), end_id)
         if now is not None:
             yield now.closed()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = counted.where("kind = 0").withColumn("k", F.coalesce("a", F.lit(LOWEST)))
-    rows = keyed.select(shard_of("k").alias("shard"), "k", F.col("a").isNull().alias("null"), "ids")
+    rows = keyed.select(shard_of("k").alias("shard"), "k", F.col("a").isNull().alias("null"), F.col("b").alias("n"), "ids")
     rows = rows.repartition(n, "shard").sortWithinPartitions("shard", "k", "ids")
     rows.mapInArrow(write, "shard long, file string, start long, ids long, docs long, bytes long").write.parquet(f"{out}/manifest")
     bounds.unpersist()
