@@ -346,6 +346,19 @@ def test_token_files_round_trip(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "ids").glob("ids-*.rans"))) > 2
 
 
+def test_cached_pieces_encode_as_whole_texts_do():
+    import random
+
+    import public_tokenizers
+
+    from tidemill.llm.token_output import Encoder
+
+    enc, rng = Encoder(public_tokenizers.path("word_bpe_49k.json")), random.Random(1)
+    signs = "abzAZéÉßÿÀ×÷ªµ0129.,;:'\"!?-_#%&*()<>|@$~^`\\/[]{} \n\t 日本İı\u0301ẞ’“”–…½²"
+    for text in ["", "|.", "a. b, c.", "<|endoftext|>", "don't", *("".join(rng.choice(signs) for _ in range(rng.randrange(1, 40))) for _ in range(3000))]:
+        assert enc.ids(text) == enc.plain(text).tobytes(), text
+
+
 def test_blocks_decode_alone_and_damage_shows(tmp_path):
     import pyarrow.fs as pafs
 

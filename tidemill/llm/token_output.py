@@ -43,9 +43,10 @@ SHARD_IDS = 1 << 23
 LOWEST = -(1 << 63)
 #: Pieces that a worker's cache holds, about 200 bytes each; later ones are encoded each time.
 _CACHE_MOST = 500_000
-#: Marks that combine with letters before them, and a stop or comma after another sign.
+#: Marks that combine with letters before them; a stop or comma after anything but a blank, or a letter or
+#: digit that no normal form takes apart.
 _MARKS = re.compile("[\u02be\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
-_ADJACENT = re.compile(r"[.,](?<![^\W_][.,])(?<!\s[.,]) ")
+_ADJACENT = re.compile(r"[.,](?<![A-Za-z0-9À-ÖØ-öø-ÿ][.,])(?<!\s[.,]) ")
 #: Letters that no normal form and no lower case changes.
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
 
@@ -187,9 +188,9 @@ class Encoder:
     def pieces(self, text: str) -> list[str]:
         if text.isascii() or not _MARKS.search(text):
             text = text.encode().lower().decode()
-        text = text.replace("\n", " ")
+        text = text.replace("\n", " ") + " "  # so that a sign at the end is seen as one before a blank
         if not _ADJACENT.search(text):
-            text = (text + " ").replace(". ", " . ").replace(", ", " , ")
+            text = text.replace(". ", " . ").replace(", ", " , ")
         return text.split(" ")
 
     def ids(self, text: str | None) -> bytes:
