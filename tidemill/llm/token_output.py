@@ -49,6 +49,9 @@ _MARKS = re.compile("[\u02be\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff
 _ADJACENT = re.compile(r"[.,](?<![A-Za-z0-9À-ÖØ-öø-ÿ][.,])(?<!\s[.,]) ")
 #: Letters that no normal form and no lower case changes.
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
+#: Pieces of letters, digits and signs other than the apostrophe, and their parts.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+")
+_PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ÿ0-9]+")
 
 
 # ------------------------------------------------------------------ rANS
@@ -171,18 +174,27 @@ class Encoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Encode new pieces: runs of letters many in one text, others one by one."""
+        """Encode new pieces: those whose parts are plain to see many in one text, others one by one.
+
+        Parts are runs of letters, single digits and runs of other signs; each ends with one id that ends a word.
+        """
         out: dict[str, bytes] = {}
-        letters = [w for w in words if _LETTERS.fullmatch(w)]
-        for i in range(0, len(letters), 256):
-            part = letters[i : i + 256]
-            ids = np.array(self.normal.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.type)
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-            if len(ends) == len(part):
-                raw, k = ids.tobytes(), ids.itemsize
-                out.update(zip(part, [raw[k * a : k * b] for a, b in zip([0, *ends], ends)]))
-        rest = [w for w in words if w not in out]
-        out.update((w, np.array(e.ids, self.type).tobytes()) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
+        letters, mixed, rest = [], [], []
+        for w in words:
+            (letters if _LETTERS.fullmatch(w) else mixed if _PLAIN.fullmatch(w) else rest).append(w)
+        for tokenizer, group in ((self.normal, letters), (self.tokenizer, mixed)):
+            for i in range(0, len(group), 256):
+                part = group[i : i + 256]
+                ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.type)
+                ends = np.flatnonzero(self.last[ids]) + 1
+                at = np.arange(1, len(part) + 1) if group is letters else np.cumsum([len(_PARTS.findall(w)) for w in part])
+                if len(ends) != at[-1]:
+                    rest += part
+                    continue
+                cuts, raw, k = ends[at - 1].tolist(), ids.tobytes(), ids.itemsize
+                out.update(zip(part, [raw[k * x : k * y] for x, y in zip([0, *cuts], cuts)]))
+        if rest:
+            out.update((w, np.array(e.ids, self.type).tobytes()) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
         return out
 
     def pieces(self, text: str) -> list[str]:
