@@ -245,7 +245,7 @@ c(i, r) AS (SELECT DISTINCT i, i FROM e UNION SELECT nb.y, c.r FROM c JOIN nb ON
 
 
 def _components(spark, d):
-    edges = table(spark, d, "lineitem").where("l_quantity >= 50 AND l_discount >= 0.1").select("l_suppkey", "l_orderkey")
+    edges = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey")
     return linking.components(spark, edges, "l_suppkey", "l_orderkey")
 
 
