@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import cut, written
 from tidemill.llm.decontamination import decontaminated
-from tidemill.llm.jaccard import similar_groups
+from tidemill.llm.jaccard import set_groups
 from tidemill.llm.mixing import mix, word_count
 from tidemill.llm.queries import tokenizer_path
 from tidemill.llm.token_output import ids_table
@@ -24,22 +24,33 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_toxicity(spark, docs.select(*COLUMNS), labels).where(F.col("tox_predicted") == 0).select(*COLUMNS)
 
 
+def row_mark(docs: DataFrame) -> Column:
+    """128 bits that tell rows of different values apart; equal rows have the same."""
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in docs.columns]
+    return F.unhex(F.md5(F.concat(*parts)))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: that with the smallest doc_id.
+    """One row of each group of near-duplicates: that with the smallest doc_id, null last; of those, with the smallest text.
 
-    Rows with empty texts are in no group and stay.  Of rows that share
-    the smallest doc_id with one another one is kept; a row with a null doc_id stays only if its group has no other
-    key, and then one of them does.
+    Rows with empty texts are in no group and stay.
     """
     docs = docs.select(*COLUMNS)
-    groups = similar_groups(spark, docs, "doc_id", "text").where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = cut(spark, groups.groupBy(F.col("doc_id").alias("k")).agg(F.count("*").alias("rows")))
-    rows = lambda own: docs.join(own, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
+    docs = docs.withColumn("row", row_mark(docs))
+    groups = set_groups(spark, docs, "doc_id", "text", "row").where("grp IS NOT NULL")
+    least = groups.groupBy("grp").agg(F.min("key").alias("low")).withColumnRenamed("grp", "g")
+    first = groups.join(least, F.col("grp") == F.col("g")).where(F.col("key").eqNullSafe(F.col("low")))
+    # equal rows are in one group, so a mark has one
+    first = cut(spark, first.groupBy("grp", F.col("row").alias("k")).agg(F.count("*").alias("rows")))
+    sizes = first.groupBy(F.col("grp").alias("g")).agg(F.sum("rows").alias("rows"), F.min("k").alias("k"))
+    keep = cut(spark, sizes)
+    empty = docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    out = docs.join(keep.where("rows = 1"), F.col("row") == F.col("k"), "left_semi").union(empty).select(*COLUMNS)
     if not keep.where("rows > 1").limit(1).count():
-        return rows(keep)
-    several = rows(keep.where("rows > 1"))
-    empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return rows(keep.where("rows = 1")).union(several.where(~empty).dropDuplicates(["doc_id"])).union(several.where(empty))
+        return out
+    several = first.select("grp", "k").join(keep.where("rows > 1").select("g"), F.col("grp") == F.col("g"), "left_semi")
+    several = docs.join(several, F.col("row") == F.col("k")).groupBy("grp").agg(F.min(F.struct("text", "doc_id", "lang", "source", "n_chars")).alias("r"))
+    return out.union(several.select("r.*").select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
