@@ -32,3 +32,17 @@ def test_closure_follows_every_link(spark, tmp_path):
     lines = {c: "\n".join(f"{i}|s{i}|{i % 2}" for i in sorted(want) if want[i] == c) for c in set(want.values())}
     got = {r["component"]: r["fingerprint"] for r in QUERIES["closure_fingerprint"](spark, str(tmp_path)).collect()}
     assert got == {c: hashlib.sha256(x.encode()).hexdigest() for c, x in lines.items()}
+
+
+def test_source_cap_discards_no_document(spark, tmp_path):
+    from tidemill.plans.catalog import QUERIES
+
+    rows = [(i, f"src{i % 3 if i % 7 else 9}" if i % 11 else None, 1 + i * 37 % 90) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    ordered = sorted(rows, key=lambda r: (-r[2], r[0]))
+    promoted, deferred, counts = [], [], {}
+    for r in ordered[:80]:
+        counts[r[1]] = counts.get(r[1], 0) + 1
+        (promoted if counts[r[1]] <= 2 else deferred).append(r)
+    want = {r[0]: i for i, r in enumerate(promoted + deferred + ordered[80:], 1)}
+    assert {r["doc_id"]: r["new_place"] for r in QUERIES["source_cap_defer"](spark, str(tmp_path)).collect()} == want

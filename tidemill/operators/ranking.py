@@ -52,12 +52,16 @@ def round_robin(df: DataFrame, within: list[str], group: str, order: list[Column
 
 
 def capped_head(df: DataFrame, source: str, place: str, head: int, per_source: int) -> DataFrame:
-    """In the first ``head`` places each source keeps ``per_source`` rows, its others follow them; later places stay. ``new_place`` has the order."""
+    """In the first ``head`` places (from 1) each source keeps ``per_source`` rows, its others follow them; later places stay. ``new_place`` has the order.
+
+    Every row comes back; only the head is ordered anew, so no task sorts the table.
+    """
     inside = F.col(place) <= head
-    nth = F.row_number().over(Window.partitionBy(inside, source).orderBy(place))
-    tier = F.when(inside & (nth <= per_source), 0).when(inside, 1).otherwise(2)
-    rows = df.withColumn("_tier", tier)
-    return rows.withColumn("new_place", F.row_number().over(Window.orderBy("_tier", place)).cast("long")).drop("_tier")
+    part = F.when(inside, 0).otherwise(F.col(place))  # a later place is a window of its own
+    nth = F.row_number().over(Window.partitionBy(part, source).orderBy(place))
+    rows = df.withColumn("_tier", F.when(inside & (nth <= per_source), 0).when(inside, 1)).withColumn("_part", part)
+    new = F.row_number().over(Window.partitionBy("_part").orderBy("_tier", place))
+    return rows.withColumn("new_place", F.when(inside, new).otherwise(F.col(place)).cast("long")).drop("_tier", "_part")
 
 
 def budget_prefix(df: DataFrame, cost: str, budget: int, order: list[Column], by: list[str] | None = None) -> DataFrame:

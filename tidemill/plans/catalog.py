@@ -315,7 +315,7 @@ WITH p AS (SELECT doc_id, source, row_number() OVER (ORDER BY n_chars DESC, doc_
 t AS (SELECT *, CASE WHEN place <= 80 AND row_number() OVER (PARTITION BY place <= 80, source ORDER BY place) <= 2 THEN 0 WHEN place <= 80 THEN 1 ELSE 2 END AS tier FROM p)
 SELECT doc_id, new_place FROM (SELECT *, row_number() OVER (ORDER BY tier, place) AS new_place FROM t) WHERE new_place <= 200""")
 def source_cap_defer(spark, d):
-    rows = ranking.top(table(spark, d, "documents").select("doc_id", "source", "n_chars"), 200, F.desc("n_chars"), F.asc("doc_id"))
+    rows = ranking.ranked(table(spark, d, "documents").select("doc_id", "source", "n_chars"), F.col("n_chars"), F.asc("doc_id"))
     return ranking.capped_head(rows, "source", "rank", 80, 2).select("doc_id", "new_place")
 
 
