@@ -46,3 +46,12 @@ def test_source_cap_discards_no_document(spark, tmp_path):
         (promoted if counts[r[1]] <= 2 else deferred).append(r)
     want = {r[0]: i for i, r in enumerate(promoted + deferred + ordered[80:], 1)}
     assert {r["doc_id"]: r["new_place"] for r in QUERIES["source_cap_defer"](spark, str(tmp_path)).collect()} == want
+
+
+def test_notes_of_every_line_are_inverted(spark, tmp_path):
+    from tidemill.plans.catalog import QUERIES
+
+    rows = [(i % 5, (i * 7) % 23, float(1 + i % 50)) for i in range(120)]
+    spark.createDataFrame(rows, "l_partkey long, l_orderkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {p: ",".join(map(str, sorted({o for q, o, _ in rows if q == p}))) for p in range(5)}
+    assert {r["id"]: r["notes"] for r in QUERIES["inverted_notes"](spark, str(tmp_path)).collect()} == want

@@ -346,7 +346,7 @@ def search_haystack(spark, d):
 
 @query("inverted_notes", "SELECT id, array_to_string(list_transform(list_sort(list(DISTINCT n)), lambda x: x::VARCHAR), ',') AS notes FROM (SELECT l_partkey AS id, l_orderkey AS n FROM lineitem WHERE l_quantity >= 49) GROUP BY 1")
 def inverted_notes(spark, d):
-    orders = table(spark, d, "lineitem").where("l_quantity >= 49").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("parts"))
+    orders = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("parts"))
     return evidence.inverted(orders, "l_orderkey", F.col("parts"))
 
 
