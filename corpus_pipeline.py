@@ -64,15 +64,20 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without words are taken by no budget and go.
     """
     docs = docs.select(*COLUMNS)
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    taken = mix(spark, sizes, "doc_id", "source", "size", [5, 2, 1]).select(F.col("doc_id").alias("k"), F.col("size").alias("s"), F.col("mix_taken").alias("taken"))
-    # repeated rows of one doc_id and size are alike to the mix: their takes add up and are shared out again
-    taken = taken.groupBy("k", "s").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
-    rows = docs.withColumn("size", word_count(F.col("text"))).where("size > 0").join(taken, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("size") == F.col("s")))
-    each = F.floor(F.col("taken") / F.col("rows"))
-    rows = rows.withColumn("share", each)
-    whole = F.floor(F.col("share") / F.col("size")).cast("int")
-    rest = (F.col("share") % F.col("size")).cast("int")
+    docs = docs.withColumn("row", row_mark(docs))
+    # a row without a doc_id has a place of its own in the order, and rows of one doc_id have each its own take
+    place = F.coalesce(F.col("doc_id").cast("string"), F.hex("row"))
+    sizes = docs.select("row", place.alias("place"), "source", word_count(F.col("text")).alias("size"))
+    taken = mix(spark, sizes, "place", "source", "size", [5, 2, 1], tie="row").select(F.col("row").alias("k"), "size", F.col("mix_taken").alias("taken")).where("size > 0")
+    # equal rows are neighbours in the order: together they give whole texts and one part at most
+    taken = cut(spark, taken.groupBy("k", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows")))
+    met = F.col("row") == F.col("k")
+    if taken.where("rows > 1").limit(1).count():
+        several = docs.join(taken.where("rows > 1").select("k"), met, "left_semi").dropDuplicates(["row"])
+        docs = docs.join(taken.where("rows = 1").select("k"), met, "left_semi").union(several)
+    rows = docs.join(taken.where("taken > 0"), met)
+    whole = F.floor(F.col("taken") / F.col("size")).cast("int")
+    rest = (F.col("taken") % F.col("size")).cast("int")
     times = F.concat(F.array_repeat(F.col("size").cast("int"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
     rows = rows.withColumn("words", F.explode(times))
     head = F.regexp_extract(F.col("text"), r"^[\x20\x09-\x0D]*", 0)

@@ -21,3 +21,22 @@ def test_one_row_of_each_group_whatever_its_key(spark, tmp_path):
     got = collections.Counter(tuple(r) for r in P.near_duplicates(spark, frame(spark, rows), str(tmp_path)).collect())
     want = [rows[0], rows[1], rows[2], rows[3], rows[6], rows[7], rows[10], *rows[13:]]
     assert got == collections.Counter(want)
+
+
+def test_each_row_of_a_shared_key_gets_its_own_take(spark, tmp_path):
+    import corpus_pipeline as P
+
+    def rows_of(source, key, n):
+        return [(key, words(f"{source}x{i}_", 10), "en", source, 0) for i in range(n)]
+
+    # 120 rows a source weighing 5, 2 and 1: the last two have targets of 900 and 450 words, under their 1,200
+    rows = rows_of("a", None, 120) + rows_of("b", None, 119) + [(None, words("bx0_", 10), "en", "b", 0)]  # two rows are equal
+    rows += rows_of("c", 7, 117) + [(8, words("same", 10), "en", "c", 0)] * 3
+    texts = {r[1] for r in rows}
+    per_source = collections.defaultdict(list)
+    for r in P.mixing(spark, frame(spark, rows), str(tmp_path)).collect():
+        per_source[r["source"]].append(r["text"])
+    for source, want in (("a", 2250), ("b", 900), ("c", 450)):
+        sizes = [len(t.split()) for t in per_source[source]]
+        assert sum(sizes) == want  # the budget to the word
+        assert len([t for t in per_source[source] if t not in texts]) <= 1  # one text at most is cut short

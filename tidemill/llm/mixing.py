@@ -45,7 +45,7 @@ def targets(sizes: DataFrame, weights: list[int], most: float) -> DataFrame:
     return rows.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, key: str, source: str, size: str, weights: list[int], most: int = 3, seed: str = "mix") -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, key: str, source: str, size: str, weights: list[int], most: int = 3, seed: str = "mix", tie: str | None = None) -> DataFrame:
     """How many words the mix takes of every row.
 
     Returns ``docs``'s columns plus ``mix_source_size``, ``mix_target`` and
@@ -59,7 +59,7 @@ def mix(spark: SparkSession, docs: DataFrame, key: str, source: str, size: str,
     Null sizes count 0; a null source is a source of its own, in the last place;
     a null key hashes as the word "null".  Rows with the same key tie: they stay
     neighbours in the order (by size), and as such rows are alike to the mix, which of them the
-    cut falls on doesn't show in the result.  An empty table gives an empty result.
+    cut falls on doesn't show in the result.  Where it does, ``tie`` names a column that orders them.  An empty table gives an empty result.
     Extra columns pass through; pass narrow rows, without texts.
     """
     rows = docs.select(
@@ -67,6 +67,7 @@ def mix(spark: SparkSession, docs: DataFrame, key: str, source: str, size: str,
         F.col(source).alias("source"),
         F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(":" + seed))).alias("at"),
+        *([] if tie is None else [F.col(f"`{tie}`").alias("tie")]),
     ).withColumn("range", F.substring("at", 1, RANGE_DIGITS))
     rows = cut(spark, rows)
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
@@ -78,7 +79,7 @@ def mix(spark: SparkSession, docs: DataFrame, key: str, source: str, size: str,
     ranges = ranges.withColumn("range_before", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
     ranges = ranges.join(per_source.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     ranges = ranges.select(F.col("source").alias("s"), F.col("range").alias("r"), "source_size", "target", "epochs", "rest", "range_before")
-    in_range = Window.partitionBy("source", "range").orderBy("at", "size").rowsBetween(Window.unboundedPreceding, -1)
+    in_range = Window.partitionBy("source", "range").orderBy("at", "size", *([] if tie is None else ["tie"])).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("row_before", F.coalesce(F.sum("size").over(in_range), F.lit(0)))
     rows = rows.join(ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     left = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("range_before") - F.col("row_before")))
