@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from . import fixtures
@@ -354,9 +355,52 @@ def test_cached_pieces_encode_as_whole_texts_do():
     from tidemill.llm.token_output import Encoder
 
     enc, rng = Encoder(public_tokenizers.path("word_bpe_49k.json")), random.Random(1)
+    assert enc.apart
     signs = "abzAZéÉßÿÀ×÷ªµ0129.,;:'\"!?-_#%&*()<>|@$~^`\\/[]{} \n\t 日本İı\u0301ẞ’“”–…½²"
-    for text in ["", "|.", "a. b, c.", "<|endoftext|>", "don't", *("".join(rng.choice(signs) for _ in range(rng.randrange(1, 40))) for _ in range(3000))]:
-        assert enc.ids(text) == enc.plain(text).tobytes(), text
+    pools = [signs, signs, [chr(i) for i in range(0xA0)], "\u00a0\u1680\u2003\u2028\u2029\u202f\u205f\u3000\u200b\ufeff", [chr(i) for i in range(0x300, 0x370)], ["<|endoftext|>", "<|EndOfText|>", "'s", "'LL"], "ab., "]
+    fixed = ["", "|.", "a. b, c.", "<|endoftext|>", "don't", "\x1f.", "=\x11\t\x17KF(…\x1e,", "a,\x1c b.\x1d", "a.\n\nB,"]
+    texts = fixed + ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(1, 40))) for _ in range(20_000)]
+    got = [x.as_py() for k in range(0, len(texts), 500) for x in enc.encoded(pa.array(texts[k : k + 500]))]
+    for text, ids in zip(texts, got):
+        assert ids == enc.plain(text).tobytes(), text
+    assert enc.encoded(pa.array([None, "a"], pa.string())).to_pylist() == [b"", enc.plain("a").tobytes()]
+    assert len(enc.encoded(pa.array([], pa.string()))) == 0
+    enc.apart = False
+    assert [x.as_py() for x in enc.encoded(pa.array(texts[:300]))] == got[:300]
+
+
+def test_tokenizers_that_do_not_come_apart_get_whole_texts(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    from tidemill.llm.token_output import Encoder, apart
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert apart(spec)
+    for part, key, value in (("normalizer", None, {"type": "NFKD"}), ("pre_tokenizer", None, {"type": "Whitespace"}), ("model", "end_of_word_suffix", None), ("added_tokens", 0, spec["added_tokens"][0] | {"lstrip": True})):
+        other = json.loads(json.dumps(spec))
+        if key is None:
+            other[part] = value
+        else:
+            other[part][key] = value
+        assert not apart(other), part
+    bytewise = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not bytewise.apart and bytewise.ids("Ab  c. d") == bytewise.plain("Ab  c. d").tobytes()
+
+
+def test_neighbouring_shards_share_a_task(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidemill.llm import common
+
+    rows = spark.range(40).select((F.col("id") % 10).alias("shard"))
+    for most, tasks in ((20_000, 10), (4, 4)):
+        monkeypatch.setattr(common, "MOST_TASKS", most)
+        dealt = common.by_shard(rows, 10).select(F.spark_partition_id().alias("p"), "shard").distinct().collect()
+        assert {r["p"] for r in dealt} == set(range(tasks)) and sorted((r["shard"], r["p"]) for r in dealt) == [(s, s * tasks // 10) for s in range(10)]
+    assert common.by_shard(rows.limit(0), 0).collect() == []
 
 
 def test_blocks_decode_alone_and_damage_shows(tmp_path):

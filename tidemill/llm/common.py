@@ -118,6 +118,16 @@ def numbered(spark: SparkSession, df: DataFrame, order: list[str], value: str |
     return rows.mapInArrow(number, schema)
 
 
+#: Partitions of one shuffle at most: beyond that a task has several shards.
+MOST_TASKS = 20_000
+
+
+def by_shard(df: DataFrame, shards: int) -> DataFrame:
+    """Rows dealt out by their column ``shard`` (0 to ``shards`` - 1): neighbouring shards, one in nearly all cases, make a partition."""
+    tasks = max(1, min(shards, MOST_TASKS))
+    return df.repartitionById(tasks, F.floor(F.col("shard") * F.lit(tasks) / F.lit(max(1, shards))).cast("int"))
+
+
 # ------------------------------------------------------------ key filter
 
 #: Bits of a filter: at 16 a key, so at most 32 MB; callers with more keys go another way.
@@ -181,6 +191,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
+def chunks(column: pa.Array, limit: int = 4 << 20):
+    """Row ranges of a column with at most ``limit`` bytes of text, or one row."""
+    _, offs = utf8(column)
+    i, n = 0, len(offs) - 1
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1))
+        yield i, j
+        i = j
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     x = x.astype(np.uint64, copy=True)

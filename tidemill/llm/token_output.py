@@ -25,13 +25,14 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import cut, numbered, removed, shared_path, written
+from .common import LOWER, by_shard, chunks, cut, numbered, removed, shared_path, utf8, written
 
 MAGIC = b"TMRANS1\n"
 SCALE = 20
@@ -43,15 +44,19 @@ SHARD_IDS = 1 << 23
 LOWEST = -(1 << 63)
 #: Pieces that a worker's cache holds, about 200 bytes each; later ones are encoded each time.
 _CACHE_MOST = 500_000
-#: Marks that combine with letters before them; a stop or comma after anything but a blank, or a letter or
-#: digit that no normal form takes apart.
-_MARKS = re.compile("[\u02be\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
-_ADJACENT = re.compile(r"[.,](?<![A-Za-z0-9À-ÖØ-öø-ÿ][.,])(?<!\s[.,]) ")
+#: Bytes of text that are tokenised at a time (or one text).
+_CHUNK = 8 << 20
+#: Marks that combine with letters before them.
+_MARKS = "[\u02be\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]"
 #: Letters that no normal form and no lower case changes.
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
 #: Pieces of letters, digits and signs other than the apostrophe, and their parts.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+")
 _PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ÿ0-9]+")
+#: A stop or comma at the end of a piece, after a letter or digit that no normal form takes apart.
+_STOPPED = "([a-z0-9À-ÖØ-öø-ÿ])([.,])( |$)"
+#: The words of tokenizers whose pieces :class:`Encoder` knows to take apart.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 # ------------------------------------------------------------------ rANS
@@ -123,46 +128,63 @@ def decode_block(raw: bytes, n: int, table: Table) -> np.ndarray:
 # ------------------------------------------------------------ tokenising
 
 
-class _Cache(dict):
-    """Notes the keys that it is asked for in vain."""
+def apart(spec: dict) -> bool:
+    """Whether a tokenizer (its file's JSON) encodes what stands between blanks by itself, and takes words as ``_WORDS`` does.
 
-    def __init__(self, start):
-        super().__init__(start)
-        self.missed: list[str] = []
-
-    def __missing__(self, word: str) -> bytes:
-        self.missed.append(word)
-        return b""
+    Its normaliser must only compose, lower and join white space, which never acts across a blank; its words must hold no
+    white space and end with a mark of their own; no special token may hold a blank or take one in.
+    """
+    steps = lambda x, name: [] if x is None else [y for z in x[name] for y in steps(z, name)] if x["type"] == "Sequence" else [x]
+    blank = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    rules = steps(spec["normalizer"], "normalizers")
+    words = steps(spec["pre_tokenizer"], "pretokenizers")
+    return (
+        all(x["type"] in ("NFC", "Lowercase") or x == blank for x in rules)
+        and sum(x["type"] == "Lowercase" for x in rules) == 1
+        and [x["type"] for x in words] == ["Split", "ByteLevel"]
+        and words[0]["pattern"] == {"Regex": _WORDS} and words[0]["behavior"] == "Removed" and words[0]["invert"]
+        and not words[1]["add_prefix_space"] and not words[1]["use_regex"]
+        and spec["model"]["type"] == "BPE" and spec["model"].get("end_of_word_suffix") == "</w>" and not spec["model"].get("dropout")
+        and spec.get("truncation") is None and spec.get("padding") is None
+        and not any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"\s", x["content"]) for x in spec["added_tokens"])
+    )
 
 
 class Encoder:
     """A tokenizer with a cache of what stands between blanks.
 
-    Sound for tokenizers that put texts in lower case, drop white space, never
-    merge across it and part letters from punctuation, as those of this kind do:
-    pieces between blanks are then encoded by themselves, and a full stop or comma after a
-    letter is a piece of its own.  Texts in which lower case or such a cut could
-    matter (combining marks, punctuation in a row, special tokens) keep their case, their words, or go
-    to the tokenizer as they are.
+    The texts of a batch are cut at blanks and line ends and each distinct piece is looked up once; Arrow puts the
+    ids together.  Pieces that are not known are encoded by the tokenizer, many in one text where their words are
+    plain to see.  A tokenizer that isn't :func:`apart` gets whole texts.
     """
 
     _made: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.apart = apart(spec)
         self.tokenizer = Tokenizer.from_file(path)
-        #: The same without its normaliser, for texts that it leaves as they are.
-        self.normal = Tokenizer.from_file(path)
-        self.normal.normalizer = normalizers.Sequence([])
         self.size = self.tokenizer.get_vocab_size()
         self.type = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.cache = _Cache({"": b""})
-        #: Ids that end a word, if the tokenizer marks them; each run of letters has one, its last.
+        self.cache: dict[str, bytes] = {"": b""}
+        if not self.apart:
+            return
+        #: The same for words of letters alone, which it neither changes nor takes apart.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        #: Ids that end a word; each word has one, its last.
         self.last = np.zeros(self.size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.last[i] = token.endswith("</w>")
+        special = "|".join(re.escape(x["content"]) for x in spec["added_tokens"])
+        #: What keeps a text as it is: there, lower case could change more than the letters.
+        self.asis = _MARKS + (f"|(?i:{special})" if special else "")
+        self.plain_only = re.compile(self.asis)
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -181,8 +203,8 @@ class Encoder:
         out: dict[str, bytes] = {}
         letters, mixed, rest = [], [], []
         for w in words:
-            (letters if _LETTERS.fullmatch(w) else mixed if _PLAIN.fullmatch(w) else rest).append(w)
-        for tokenizer, group in ((self.normal, letters), (self.tokenizer, mixed)):
+            (letters if _LETTERS.fullmatch(w) else mixed if _PLAIN.fullmatch(w) and not self.plain_only.search(w) else rest).append(w)
+        for tokenizer, group in ((self.letters, letters), (self.tokenizer, mixed)):
             for i in range(0, len(group), 256):
                 part = group[i : i + 256]
                 ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.type)
@@ -197,31 +219,36 @@ class Encoder:
             out.update((w, np.array(e.ids, self.type).tobytes()) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
         return out
 
-    def pieces(self, text: str) -> list[str]:
-        if text.isascii() or not _MARKS.search(text):
-            text = text.encode().lower().decode()
-        text = text.replace("\n", " ") + " "  # so that a sign at the end is seen as one before a blank
-        if not _ADJACENT.search(text):
-            text = text.replace(". ", " . ").replace(", ", " , ")
-        return text.split(" ")
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        found = list(map(self.cache.get, pieces))
+        new = [i for i, x in enumerate(found) if x is None]
+        learnt = self._learn([pieces[i] for i in new])
+        for i in new:
+            found[i] = learnt[pieces[i]]
+        if len(self.cache) <= _CACHE_MOST:
+            self.cache.update(learnt)
+        return found
+
+    def encoded(self, column: pa.Array) -> pa.LargeBinaryArray:
+        """The ids of each whole text, as bytes of ``type``; null counts as empty."""
+        column = pc.fill_null(column, "").cast(pa.large_string())
+        if not self.apart:
+            return pa.array([np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(column.to_pylist(), add_special_tokens=False)], pa.large_binary())
+        column = pc.replace_substring(column, "\n", " ")
+        # texts with few different pieces, but the same ids: A-Z in lower case, a last stop or comma as a piece of its own
+        data, offs = utf8(column)
+        low = pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(offs.tobytes()), pa.py_buffer(LOWER[data]))
+        column = pc.if_else(pc.match_substring_regex(column, self.asis), column, pc.replace_substring_regex(low, _STOPPED, r"\1 \2\3"))
+        lists = pc.split_pattern(column, " ")
+        pieces = lists.flatten().dictionary_encode()
+        ids = pa.array(self._pieces(pieces.dictionary.to_pylist()), pa.large_binary()).take(pieces.indices)
+        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        starts = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)[ends]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(starts.tobytes()), ids.buffers()[2]])
 
     def ids(self, text: str | None) -> bytes:
-        """The ids of a whole text, as bytes of ``type``."""
-        text = text or ""
-        if "<|" in text:
-            return self.plain(text).tobytes()
-        words, new = self.pieces(text), self.cache.missed
-        out = b"".join(map(self.cache.__getitem__, words))
-        if new:
-            full = len(self.cache) > _CACHE_MOST
-            learnt = self._learn(list(dict.fromkeys(new)))
-            new.clear()
-            self.cache.update(learnt)
-            out = b"".join(map(self.cache.__getitem__, words))
-            if full:
-                for w in learnt:
-                    del self.cache[w]
-        return out
+        return self.encoded(pa.array([text], pa.string()))[0].as_py()
 
 
 # ----------------------------------------------------------- the operator
@@ -250,13 +277,15 @@ def write_ids(spark: SparkSession, docs: DataFrame, out: str, tokenizer: str, ke
         enc = Encoder.at(tokenizer)
         counts = np.zeros(max(enc.size, end_id + 1), np.int64)
         for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                batch = whole.slice(i, 500)
-                found = [enc.ids(t) for t in batch.column(1).to_pylist()]
-                sizes = np.array([len(x) for x in found], np.int64) // np.dtype(enc.type).itemsize + 1
-                counts += np.bincount(np.frombuffer(b"".join(found), enc.type), minlength=len(counts))
+            for i, j in chunks(whole.column(1), _CHUNK):
+                batch = whole.slice(i, j - i)
+                found = enc.encoded(batch.column(1))
+                offs = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)
+                sizes = np.diff(offs) // np.dtype(enc.type).itemsize + 1
+                raw = found.buffers()[2]
+                counts += np.bincount(np.frombuffer(raw, enc.type, int(offs[-1]) // np.dtype(enc.type).itemsize) if offs[-1] else np.zeros(0, int), minlength=len(counts))
                 counts[end_id] += len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(found), np.int32)), batch.column(0), pa.array(sizes), pa.array(found, type=pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(found), np.int32)), batch.column(0), pa.array(sizes), found.cast(pa.binary())], names=names)
         have = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(have), np.int32)), pa.array(have), pa.array(counts[have]), pa.nulls(len(have), pa.binary())], names=names)
 
@@ -295,10 +324,9 @@ def write_ids(spark: SparkSession, docs: DataFrame, out: str, tokenizer: str, ke
         if now is not None:
             yield now.closed()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = counted.where("kind = 0").withColumn("k", F.coalesce("a", F.lit(LOWEST)))
     rows = keyed.select(shard_of("k").alias("shard"), "k", F.col("a").isNull().alias("null"), F.col("b").alias("n"), "ids")
-    rows = rows.repartition(n, "shard").sortWithinPartitions("shard", "k", "ids")
+    rows = by_shard(rows, len(firsts)).sortWithinPartitions("shard", "k", "ids")
     rows.mapInArrow(write, "shard long, file string, start long, ids long, docs long, bytes long").write.parquet(f"{out}/manifest")
     bounds.unpersist()
     removed(spark, counted_at)
