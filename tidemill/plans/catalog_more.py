@@ -344,7 +344,7 @@ def search_haystack(spark, d):
     return table(spark, d, "documents").where(text.haystack(F.col("source"), F.col("lang"), F.col("text")).contains("src1\nen")).select("doc_id")
 
 
-@query("inverted_notes", "SELECT id, array_to_string(list_transform(list_sort(list(DISTINCT n)), lambda x: x::VARCHAR), ',') AS notes FROM (SELECT l_partkey AS id, l_orderkey AS n FROM lineitem WHERE l_quantity >= 49) GROUP BY 1")
+@query("inverted_notes", "SELECT id, array_to_string(list_transform(list_sort(list(DISTINCT n)), lambda x: x::VARCHAR), ',') AS notes FROM (SELECT l_partkey AS id, l_orderkey AS n FROM lineitem) GROUP BY 1")
 def inverted_notes(spark, d):
     orders = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("parts"))
     return evidence.inverted(orders, "l_orderkey", F.col("parts"))
