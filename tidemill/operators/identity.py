@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def first_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in ``order``, which must end with a unique column."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+    """The first row of each key in ascending ``order`` (nulls first), which must end unique; an aggregate, so it is combined before the shuffle."""
+    rest = [c for c in df.columns if c not in key]
+    first = df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return first.select(*[F.col(c) if c in key else F.col("_r").getField(c).alias(c) for c in df.columns])
 
 
 def append_unseen(history: DataFrame, batch: DataFrame, key: str, url: str, by_url: Column, order: str) -> DataFrame:

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.shared import own_folder
 
 
 def link_unique(left: DataFrame, right: DataFrame, on: Column, left_id: str, right_id: str) -> DataFrame:
@@ -44,25 +51,46 @@ def components(spark: SparkSession, members: DataFrame, item: str, group: str) -
     round is checkpointed in ``spark.checkpoint.dir`` and the rounds end when no label changes.
     """
     edges = members.select(F.col(item).alias("i"), F.col(group).alias("g")).where("i IS NOT NULL AND g IS NOT NULL").distinct()
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))
+    own_folder(spark)
     edges = edges.checkpoint()
     labels = edges.select("i").distinct().select("i", F.col("i").alias("label")).checkpoint()
     while True:
         of_group = edges.join(labels, "i").groupBy("g").agg(F.min("label").alias("low"))
         new = edges.join(of_group, "g").groupBy("i").agg(F.min("low").alias("low")).join(labels, "i")
-        new = new.select("i", F.least("low", "label").alias("label"), F.col("label").alias("old"))
-        jump = new.select(F.col("i").alias("j"), F.col("label").alias("to"))
-        new = new.join(jump, F.col("label") == F.col("j")).select("i", F.least("label", "to").alias("label"), "old").checkpoint()
+        new = new.select("i", F.least("low", "label").alias("label"), F.col("label").alias("old")).checkpoint()
+        # labels that have a smaller label themselves; that of a finished component, however large, is not among them
+        moved = new.where("label < i").select(F.col("i").alias("j"), F.col("label").alias("to"))
+        new = new.join(moved, F.col("label") == F.col("j"), "left").select("i", F.coalesce("to", "label").alias("label"), "old").checkpoint()
         labels, changed = new.select("i", "label"), new.where("label <> old").limit(1).count()
         if not changed:
             return labels.select(F.col("i").alias(item), F.col("label").alias("component"))
 
 
 def fingerprints(components_: DataFrame, rows: DataFrame, item: str, fields: list[str]) -> DataFrame:
-    """SHA-256 of each component's rows, in the order of their ids."""
+    """SHA-256 of each component's rows, a line each, in the order of their ids.
+
+    Spark sorts a component's lines and a task hashes them as they come: no component is ever held whole.
+    """
     line = F.concat_ws("|", F.col(item).cast("string"), *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
-    lines = components_.join(rows, item).groupBy("component").agg(F.array_sort(F.collect_list(F.struct(F.col(item).alias("k"), line.alias("v")))).alias("l"))
-    return lines.select("component", F.sha2(F.array_join(F.col("l.v"), "\n"), 256).alias("fingerprint"))
+    lines = components_.join(rows, item).select("component", F.col(item).alias("_i"), line.alias("_line"))
+    lines = lines.repartition("component").sortWithinPartitions("component", "_i", "_line")
+    schema = T.StructType([lines.schema["component"], T.StructField("fingerprint", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["component", "fingerprint"], None
+        now, sha = None, None
+        for batch in batches:
+            kinds, done = (batch.column(0).type, pa.string()), []
+            for component, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if sha is None or component != now:
+                    if sha is not None:
+                        done.append((now, sha.hexdigest()))
+                    now, sha = component, hashlib.sha256(text.encode())
+                else:
+                    sha.update(b"\n" + text.encode())
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), kinds)], names=names)
+        if sha is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], kinds[0]), pa.array([sha.hexdigest()])], names=names)
+
+    return lines.mapInArrow(run, schema)

@@ -5,20 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import own_folder
 
-def ranked(df: DataFrame, lead: Column, *order: Column) -> DataFrame:
-    """All rows with a global ``rank`` from 1, largest ``lead`` first, then by ``order`` (which must end unique).
 
-    Rows are counted for each value of ``lead`` first; the numbers before a value are a prefix sum over
-    its few values, those within it a window of its own, so no task sorts the table.
+def numbered(df: DataFrame, *order: Column, value: Column | None = None) -> DataFrame:
+    """All rows with ``place`` (from 0, in ``order``, which must end unique) and ``before``, the sum of ``value`` over the places before.
+
+    A range sort puts the rows in order over the partitions and a checkpoint fixes them there. One count and sum a
+    partition reach the driver; rows of a partition are numbered where they are.
     """
-    rows = df.withColumn("_lead", lead)
-    counts = rows.groupBy("_lead").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(F.desc("_lead")).rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(F.col("_lead").alias("_l"), F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_lead").orderBy(*order))
-    rows = rows.withColumn("_own", own).join(counts, F.col("_lead").eqNullSafe(F.col("_l")))
-    return rows.withColumn("rank", F.col("_before") + F.col("_own")).drop("_lead", "_l", "_before", "_own")
+    own_folder(df.sparkSession)
+    rows = df.withColumn("_value", F.lit(0) if value is None else value)
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
+    # the identifier holds the partition above its 33 low bits and the row's place in the partition in them
+    rows = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33).cast("int"))
+    parts = sorted((r["_part"], r["n"], r["s"] or 0) for r in rows.groupBy("_part").agg(F.count("*").alias("n"), F.sum("_value").alias("s")).collect())
+    starts, n, total = [F.lit(-1), F.struct(F.lit(0).cast("long"), F.lit(0).cast("long"))], 0, 0
+    for part, count, amount in parts:
+        starts += [F.lit(part), F.struct(F.lit(n).cast("long"), F.lit(int(total)).cast("long"))]
+        n, total = n + count, total + amount
+    start = F.element_at(F.create_map(*starts), F.col("_part"))
+    rows = rows.withColumn("place", start["col1"] + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    if value is None:
+        return rows.drop("_value", "_id", "_part")
+    earlier = F.sum("_value").over(Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("before", start["col2"] + F.coalesce(earlier, F.lit(0))).drop("_value", "_id", "_part")
+
+
+def ranked(df: DataFrame, lead: Column, *order: Column) -> DataFrame:
+    """All rows with a global ``rank`` from 1, largest ``lead`` first (null last), then by ``order`` (which must end unique)."""
+    return numbered(df, lead.desc(), *order).withColumn("rank", F.col("place") + 1).drop("place")
 
 
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -65,9 +81,12 @@ def capped_head(df: DataFrame, source: str, place: str, head: int, per_source: i
 
 
 def budget_prefix(df: DataFrame, cost: str, budget: int, order: list[Column], by: list[str] | None = None) -> DataFrame:
-    """The longest prefix (of each ``by``) whose costs add up to the budget or less."""
-    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= budget)
+    """The longest prefix (of each ``by``) whose costs, whole numbers of 0 or more, add up to the budget or less; ``spent`` has the sum."""
+    if by:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= budget)
+    rows = numbered(df, *order, value=F.coalesce(F.col(cost), F.lit(0)).cast("long"))
+    return rows.withColumn("spent", F.col("before") + F.coalesce(F.col(cost), F.lit(0))).where(F.col("spent") <= budget).drop("place", "before")
 
 
 def hash_order(key: Column, salt: str) -> Column:

@@ -70,18 +70,27 @@ def read_shards(spark: SparkSession, path: str, schema: T.StructType, periods: l
 
 
 def write_if_changed(df: DataFrame, path: str) -> bool:
-    """Write a table unless the one that is there has the same rows; says whether it was written."""
+    """Write a table unless the one that is there has the same rows; says whether it was written.
+
+    The new table is whole before the old one is moved aside, and the old one goes last: a run that is stopped in
+    between loses neither, and the next call puts the old table back where the path is empty.
+    """
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    at, fresh, aside = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + x) for x in ("", ".new", ".old"))
     fs = at.getFileSystem(conf)
+    if fs.exists(aside) and not fs.exists(at):
+        fs.rename(aside, at)
     if fs.exists(at):
         old = spark.read.schema(df.schema).parquet(path)
         same = lambda a: a.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).first()
         if same(old) == same(df):
             return False
-    fresh = f"{path.rstrip('/')}.new"
-    df.write.mode("overwrite").parquet(fresh)
-    fs.delete(at, True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), at)
+    df.write.mode("overwrite").parquet(fresh.toString())
+    fs.delete(aside, True)
+    if fs.exists(at) and not fs.rename(at, aside):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(fresh, at):
+        raise OSError(f"{path} can't be written")
+    fs.delete(aside, True)
     return True

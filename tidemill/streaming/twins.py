@@ -29,13 +29,21 @@ STREAK = "key string, n_bad long, last_at timestamp"
 
 
 def _streak(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, last = state.get if state.exists else (0, None)
-    rows = pd.concat(list(batches)).sort_values(["at", "id"])
-    for bad in rows["bad"]:
-        n = n + 1 if bad else 0
-    last = rows["at"].iloc[-1]
-    state.update((n, last))
-    yield pd.DataFrame({"key": [key[0]], "n_bad": [n], "last_at": [last]})
+    """Only the bad rows after the last good one count; of a batch no more than those is kept, whatever the order of the rows."""
+    n, _ = state.get if state.exists else (0, None)
+    good, last, later = None, None, []
+    for batch in batches:
+        order = pd.MultiIndex.from_frame(batch[["at", "id"]])
+        last = max(order.max(), last) if last else order.max()
+        fine = order[~batch["bad"].to_numpy(bool)]
+        if len(fine) and (good is None or fine.max() > good):
+            good = fine.max()
+            later = [x[x > good] for x in later]
+        bad = order[batch["bad"].to_numpy(bool)]
+        later.append(bad if good is None else bad[bad > good])
+    n = (n if good is None else 0) + sum(map(len, later))
+    state.update((n, last[0]))
+    yield pd.DataFrame({"key": [key[0]], "n_bad": [n], "last_at": [last[0]]})
 
 
 def streak_updates(stream: DataFrame, key: str, at: str, order: str, bad: str) -> DataFrame:
