@@ -127,6 +127,47 @@ def test_neighbours_find_nearly_all(spark):
     assert hit >= 0.9 * 10 * len(queries)
 
 
+def exact_neighbours(ids, x, queries, k):
+    """Brute force: (query, rank) -> (key, score); ties to the smaller key."""
+    out = {}
+    for q, v in queries.items():
+        s = (x * v).sum(1)
+        own = [int(i) for i in np.lexsort((ids, -s)) if ids[i] != q][:k]
+        out.update({(q, r + 1): (int(ids[i]), float(s[i])) for r, i in enumerate(own)})
+    return out
+
+
+@pytest.mark.parametrize("n", [700, 2100])
+def test_neighbours_with_a_tree_that_grows(spark, monkeypatch, n):
+    """Several levels, blocks and query groups, a leaf of copies that won't come apart, repeated keys."""
+    from tidemill.llm import neighbours as N
+
+    for name, value in {"SAMPLE": 200, "BRANCHES": 4, "LEVELS": 1, "LEAF": 8, "LEAF_ROWS": 40, "LEAF_SAMPLE": 30, "BLOCK": 25, "QUERIES": 16, "GROUP_BYTES": 8 * 8 * 6}.items():
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(n)
+    centres = 4 * rng.normal(size=(12, 8))
+    x = centres[rng.integers(0, 12, n)] + 0.5 * rng.normal(size=(n, 8))
+    x[n // 3 : 2 * n // 3] = x[n // 3]  # a third of all rows are copies
+    ids = np.arange(n)
+    ids[5], ids[6] = 4, 4  # a key that occurs three times, with three vectors
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 20 = 0 or vec_id = 4").union(df.where("vec_id = 20")).union(df.where("vec_id = 20"))
+    queries = {int(i): min((x[j].tolist() for j in np.flatnonzero(ids == i))) for i in {*range(0, n, 20), 4}}
+    want = exact_neighbours(ids, x, {q: np.array(v) for q, v in queries.items()}, 10)
+    found = N.nearest(spark, df, asked, 10).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in found) == sorted(want)
+    hit = sum(len({w[0] for (i, _), w in want.items() if i == q} & {r["vec_id"] for r in found if r["query_id"] == q}) for q in queries)
+    assert hit >= 0.95 * sum(len({w[0] for (i, _), w in want.items() if i == q}) for q in queries)
+    monkeypatch.setattr(N, "RECALL", 1.0)
+    monkeypatch.setattr(N, "_calibrated", lambda *a: 1 << 30)  # all leaves: the search is exact
+    for r in N.nearest(spark, df, asked, 10).collect():
+        i, score = want[r["query_id"], r["rank"]]
+        assert r["vec_id"] == i and abs(r["score"] - score) < 1e-12
+    held = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{spark.conf.get('spark.checkpoint.dir')}")]
+    names = [f.getPath().getName() for f in held[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(held[0])]
+    assert not [x for x in names if x.startswith(("tidemill-leaves", "tidemill-visits"))]
+
+
 def test_neighbours_of_few_rows_are_all_rows(spark):
     from tidemill.llm.neighbours import nearest
 
@@ -169,6 +210,21 @@ def test_secrets_and_links(spark):
     assert all(not by[i]["base_spans"] and by[i]["spans_text"] == "" for i in (6, 7, 8, 9))
 
 
+def test_secrets_of_a_text_with_very_many(spark):
+    """Half a million parts in two texts of megabytes; a scan that grows with their square would take hours."""
+    from tidemill.llm.secrets import scan_secrets
+
+    unit, full = "https://ab.cd token=abcdefghij ", "https://ab.cd token=abcdefghij AKIA1234567890ABCD "
+    rows = [(1, unit * 100_000), (2, full * 60_000), (3, "token=" + "z" * 2_000_000), (4, unit + "x" * 300 + full)]
+    found = {r["doc_id"]: r for r in scan_secrets(spark, spark.createDataFrame(rows, "doc_id long, text string"), "text").collect()}
+    assert len(found[1]["base_spans"]) == 100_000 and not found[1]["linked_spans"]
+    assert [tuple(s) for s in found[1]["base_spans"][-2:]] == [(len(unit) * k + 14, 0, len(unit) * k + 30) for k in (99_998, 99_999)]
+    assert len(found[2]["base_spans"]) == 120_000 and len(found[2]["linked_spans"]) == 60_000
+    assert found[3]["spans_text"] == "assign:0:2000006"
+    at = len(unit) + 300
+    assert found[4]["spans_text"] == f"assign:14:30,endpoint:{at}:{at + 13},assign:{at + 14}:{at + 30},access:{at + 31}:{at + 49}"
+
+
 # ---------------------------------------------------------------- mixing
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -28,6 +28,7 @@ SCOPE = 256
 ROLE = {"assign": "key", "hex": "key", "secret": "key", "access": "id", "identifier": "id", "endpoint": "at"}
 NEEDS = {"identifier": ("key",), "secret": ("id",), "endpoint": ("id", "key")}
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
+_FOUND = "array<struct<kind:int,gap:int,n:int,kept:boolean>>"
 
 
 def _kept(kind: int, match: Column) -> Column:
@@ -39,54 +40,66 @@ def _kept(kind: int, match: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(text: Column, kind: int) -> Column:
-    """(start, kind, end) of a kind's leftmost non-overlapping matches, in code points.
+def _found(text: Column, kind: int) -> Column:
+    """A kind's leftmost non-overlapping matches: code points between each and the one before, its own, and whether it counts.
 
     ``split`` gives the texts between the matches, ``regexp_extract_all`` the
-    matches; their lengths add up to the positions.  A text without a match, as
-    nearly all are, is not split.
+    matches.  A text without a match, as nearly all are, is not split.
     """
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(text, PATTERNS[kind], -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
-    none = F.array().cast(_SPANS)
+    gaps = F.slice(F.split(text, PATTERNS[kind], -1), F.lit(1), F.size(found))
+    each = F.zip_with(gaps, found, lambda g, m: F.struct(F.lit(kind).alias("kind"), F.length(g).alias("gap"), F.length(m).alias("n"), _kept(kind, m).alias("kept")))
+    return F.when(F.size(found) == 0, F.array().cast(_FOUND)).otherwise(each)
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gap"]
-        b = a + F.length(x["m"])
-        one = F.array(F.struct(a.alias("start"), F.lit(kind).alias("kind"), b.alias("end")))
-        return F.struct(b.alias("at"), F.when(_kept(kind, x["m"]), F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(pairs, start, step)["spans"])
+def _spans(rows: DataFrame) -> DataFrame:
+    """(row, start, kind, end): positions are running sums over a text's matches of a kind."""
+    each = rows.where(F.size("found") > 0).select("row", F.posexplode("found").alias("i", "f")).select("row", "i", "f.*")
+    upto = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(upto).cast("int"))
+    return each.where("kept").select("row", (F.col("end") - F.col("n")).alias("start"), "kind", "end")
 
 
 def _text(spans: Column) -> Column:
+    """Sorted spans as text."""
     names = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _bins(a: Column, b: Column) -> Column:
+    return F.explode(F.sequence(F.floor(a / SCOPE), F.floor(b / SCOPE))).alias("bin")
+
+
+def _clear(spans: DataFrame) -> DataFrame:
+    """The spans without the weak ones that overlap a strong one: an interval join through bins of SCOPE code points."""
+    strong = F.col("kind") < 3
+    base = spans.where(strong).select(F.col("row").alias("b_row"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), _bins(F.col("start"), F.col("end") - 1).alias("b_bin"))
+    weak = spans.where(~strong).select("row", "start", "kind", "end", _bins(F.col("start"), F.col("end") - 1))
+    meets = (F.col("row") == F.col("b_row")) & (F.col("bin") == F.col("b_bin")) & (F.col("b_start") < F.col("end")) & (F.col("start") < F.col("b_end"))
+    covered = weak.join(base, meets, "left_semi").select(*[F.col(c).alias(f"c_{c}") for c in ("row", "start", "kind")]).distinct()
+    same = (F.col("row") == F.col("c_row")) & (F.col("start") == F.col("c_start")) & (F.col("kind") == F.col("c_kind"))
+    return spans.join(covered, same, "left_anti")
 
 
 def _linked(parts: DataFrame) -> DataFrame:
-    """Interval join of the weak parts with their complements: (row, span) of those that are complete.
+    """Interval join of the weak parts with their complements: those that are complete.
 
     Parts fall into bins of SCOPE code points, a weak part also into the bins that
     its scope reaches; an equi-join on row, bin and role with the exact distance as
     a further condition is a semi join, so no pair is ever made, however many
     parts a scope holds.
     """
-    one = parts.select("row", F.explode("parts").alias("p")).select("row", "p.*")
     role = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (i, ROLE[k])]), F.col("kind"))
-    with_bins = lambda a, b: F.explode(F.sequence(F.floor(a / SCOPE), F.floor(b / SCOPE))).alias("bin")
-    have = one.select(F.col("row").alias("h_row"), role.alias("h_role"), F.col("start").alias("h_start"), F.col("end").alias("h_end"), with_bins(F.col("start"), F.col("end")))
-    have = have.withColumnRenamed("bin", "h_bin")
+    have = parts.select(F.col("row").alias("h_row"), role.alias("h_role"), F.col("start").alias("h_start"), F.col("end").alias("h_end"), _bins(F.col("start"), F.col("end")).alias("h_bin"))
     out = None
     for kind, needs in NEEDS.items():
-        weak = one.where(F.col("kind") == KINDS.index(kind))
+        weak = parts.where(F.col("kind") == KINDS.index(kind))
         for need in needs:
-            binned = weak.select("row", "start", "kind", "end", with_bins(F.col("start") - SCOPE, F.col("end") + SCOPE))
+            binned = weak.select("row", "start", "kind", "end", _bins(F.col("start") - SCOPE, F.col("end") + SCOPE))
             near = (F.col("row") == F.col("h_row")) & (F.col("bin") == F.col("h_bin")) & (F.col("h_role") == need) & (F.col("h_start") <= F.col("end") + SCOPE) & (F.col("start") <= F.col("h_end") + SCOPE)
             weak = binned.join(have, near, "left_semi").select("row", "start", "kind", "end").distinct()
         out = weak if out is None else out.union(weak)
-    return out.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("linked"))
+    return out
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, text: str) -> DataFrame:
@@ -99,23 +112,25 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, text: str) -> DataFrame:
     complements lie within SCOPE code points.  A weak part that overlaps a strong
     one is that strong one and isn't reported again.
 
+    Work and memory grow in proportion to a text's length and its matches: running sums give the positions, and
+    bins of SCOPE code points bound what is compared with a span.
+
     A null text is empty; it and texts without parts have empty arrays.  Repeated rows
     and repeated keys keep their own results; columns of ``docs`` named like a result
     are replaced.  An empty table gives an empty result.
     """
     rest = [c for c in docs.columns if c != text and c.lower() not in ("base_spans", "linked_spans", "spans_text", "base_text")]
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    spans = [_spans(whole, k) for k in range(len(KINDS))]
-    rows = docs.select(F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("rest"), F.concat(*spans[:3]).alias("base"), F.concat(*spans[3:]).alias("weak"))
-    clear = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    rows = cut(spark, rows.withColumn("weak", F.when(F.size("weak") == 0, F.col("weak")).otherwise(clear)).withColumn("row", F.monotonically_increasing_id()))
-    linked = _linked(rows.where(F.size("weak") > 0).select("row", F.concat("base", "weak").alias("parts")))
-    rows = rows.join(linked.withColumnRenamed("row", "l_row"), F.col("row") == F.col("l_row"), "left")
-    linked = F.coalesce("linked", F.array().cast(_SPANS))
+    found = F.concat(*[_found(whole, k) for k in range(len(KINDS))])
+    rows = docs.select(F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("rest"), found.alias("found"))
+    rows = cut(spark, rows.withColumn("row", F.monotonically_increasing_id()))
+    parts = cut(spark, _clear(cut(spark, _spans(rows))))
+    span = F.struct("start", "kind", "end")
+    spans = parts.where(F.col("kind") < 3).union(_linked(parts).select("row", "start", "kind", "end"))
+    spans = spans.groupBy(F.col("row").alias("l_row")).agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    rows = rows.select("rest", "row").join(spans, F.col("row") == F.col("l_row"), "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
+    base, linked = F.filter("spans", lambda s: s["kind"] < 3), F.filter("spans", lambda s: s["kind"] >= 3)
     return rows.select(
         *[F.col("rest").getField(c).alias(c) for c in rest],
-        F.array_sort("base").alias("base_spans"), F.array_sort(linked).alias("linked_spans"),
-        _text(F.concat("base", linked)).alias("spans_text"), _text(F.col("base")).alias("base_text"),
+        base.alias("base_spans"), linked.alias("linked_spans"), _text(F.col("spans")).alias("spans_text"), _text(base).alias("base_text"),
     )
-
-
