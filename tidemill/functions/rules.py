@@ -14,8 +14,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Longer tables are looked through as one constant array: as an expression each, they pass what a generated method may hold.
+_FEW = 24
+
+
 def contains_any(text: Column, words: Iterable[str]) -> Column:
     """Whether a text contains one of the words, as plain substrings."""
+    words = list(words)
+    if len(words) > _FEW:
+        return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: text.contains(w))
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words], F.lit(False))
 
 
@@ -25,17 +32,21 @@ def contains_all(text: Column, words: Iterable[str]) -> Column:
 
 def keyword_score(text: Column, weights: Sequence[tuple[str, float]]) -> Column:
     """Sum of the weights of contained words; a word listed twice counts twice."""
+    if len(weights) > _FEW:
+        table = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(float(x)).alias("weight")) for w, x in weights])
+        return F.aggregate(table, F.lit(0.0), lambda sum_, x: sum_ + F.when(text.contains(x["word"]), x["weight"]).otherwise(0.0))
     return reduce(lambda a, b: a + b, [F.when(text.contains(w), F.lit(float(x))).otherwise(F.lit(0.0)) for w, x in weights], F.lit(0.0))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A label given where any (``every``: all) of the words occur and, if stated, the gate is one of ``gates``."""
+    """A label given where any (``every``: all) of the words occur and, if stated, one of ``also`` too and the gate is one of ``gates``."""
 
     label: str
     words: tuple[str, ...]
     every: bool = False
     gates: tuple[str, ...] = ()
+    also: tuple[str, ...] = ()
 
 
 def first_match(text: Column, rules: Sequence[Rule], default: str | None, gate: Column | None = None) -> Column:
@@ -43,6 +54,8 @@ def first_match(text: Column, rules: Sequence[Rule], default: str | None, gate:
     out = F.lit(default)
     for rule in reversed(rules):
         hit = (contains_all if rule.every else contains_any)(text, rule.words)
+        if rule.also:
+            hit = hit & contains_any(text, rule.also)
         if rule.gates:
             if gate is None:
                 raise ValueError("a gated rule needs a gate column")

@@ -1,3 +1,3 @@
 """Composed plans and the query catalogue."""
 
-from . import catalog, catalog_more  # noqa: E402,F401  (the second adds to the first)
+from . import catalog, catalog_dossiers, catalog_more, catalog_notices  # noqa: E402,F401  (the second adds to the first)

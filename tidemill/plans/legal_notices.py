@@ -82,6 +82,18 @@ COMMENT_WORDS = ("意見募集", "パブリックコメント", "パブリック
 RESULT_WORDS = ("意見募集結果", "意見募集の結果", "意見の募集の結果", "パブリックコメントの結果", "結果の公示")
 RESULT_WORDS_IN_COMMENT = ("結果について", "募集の結果", "結果")
 CLOSED_WORDS = ("受付終了", "終了しました", "意見募集を終了", "募集を終了")
+#: After the words of results: signs of a stage in the title or its lower case, in order.
+STAGES = (
+    Rule("Public Comment Closed", (*CLOSED_WORDS, "closed")),
+    Rule("Public Comment Open", ("",), gates=("comment",)),
+    Rule("In Force", ("施行されました", "施行しました")),
+    Rule("Scheduled to Take Effect", ("施行期日", "施行日", "施行予定")),
+    Rule("Promulgated", ("公布",)),
+    Rule("Enacted", ("成立", "法"), every=True),
+    Rule("Bill Submitted", ("法案", "法律案")),
+    Rule("Bill Submitted", ("提出",), also=("法律", "法案", "国会")),
+    Rule("Draft Guideline", ("案",), also=("指針", "ガイドライン", "Q&A", "Ｑ＆Ａ", "Q＆A", "FAQ", "考え方")),
+)
 DRAFT_NAMED_RESULT = "結果[^（(。、「」]{0,30}?[（(]案[）)]"
 HINT_SOURCES = ("legislature_html", "law_api", "pmda_safety_html", "public_comment_results_html", "court_html", "enforcement_html")
 HINTS = (
@@ -124,24 +136,12 @@ def relevance(title: Column, source_type: Column) -> Column:
 
 def stage(title: Column, source_type: Column) -> Column:
     """Stage by the first sign that holds; general words of outcome count in consultations alone, and not where they name a draft."""
-    low = F.lower(title)
-    comment = is_comment(source_type) | contains_any(title, COMMENT_WORDS) | low.contains("public comment")
+    both = F.concat_ws("\n", title, F.lower(title))
+    comment = is_comment(source_type) | contains_any(both, (*COMMENT_WORDS, "public comment"))
     unnamed = F.regexp_replace(title, DRAFT_NAMED_RESULT, "")
-    signs = [
-        (contains_any(title, RESULT_WORDS) | low.contains("results published") | (comment & contains_any(unnamed, RESULT_WORDS_IN_COMMENT)), "Public Comment Results Published"),
-        (contains_any(title, CLOSED_WORDS) | low.contains("closed"), "Public Comment Closed"),
-        (comment, "Public Comment Open"),
-        (contains_any(title, ("施行されました", "施行しました")), "In Force"),
-        (contains_any(title, ("施行期日", "施行日", "施行予定")), "Scheduled to Take Effect"),
-        (title.contains("公布"), "Promulgated"),
-        (title.contains("成立") & title.contains("法"), "Enacted"),
-        (contains_any(title, ("法案", "法律案")) | (title.contains("提出") & contains_any(title, ("法律", "法案", "国会"))), "Bill Submitted"),
-        (title.contains("案") & contains_any(title, ("指針", "ガイドライン", "Q&A", "Ｑ＆Ａ", "Q＆A", "FAQ", "考え方")), "Draft Guideline"),
-    ]
-    out = F.lit("Government Announcement")
-    for sign, name in reversed(signs):
-        out = F.when(sign, name).otherwise(out)
-    return out
+    result = contains_any(both, (*RESULT_WORDS, "results published")) | (comment & contains_any(unnamed, RESULT_WORDS_IN_COMMENT))
+    other = first_match(both, STAGES, "Government Announcement", F.when(comment, "comment").otherwise(""))
+    return F.when(result, "Public Comment Results Published").otherwise(other)
 
 
 def impact(title: Column, source_type: Column) -> Column:
@@ -159,8 +159,14 @@ def stage_bonus(stage_: Column, title: Column) -> Column:
 
 def load_rules(spark: SparkSession, path: str) -> list[Rule]:
     """Ordered rules from JSON lines of label, words, every, gates; bounded by what a person can write."""
-    rows = spark.read.schema("ord int, label string, words array<string>, every boolean, gates array<string>").json(path).orderBy("ord").collect()
-    return [Rule(r["label"], tuple(r["words"] or ()), bool(r["every"]), tuple(r["gates"] or ())) for r in rows]
+    rows = spark.read.schema("ord int, label string, words array<string>, every boolean, gates array<string>, also array<string>").json(path).orderBy("ord").collect()
+    return [Rule(r["label"], tuple(r["words"] or ()), bool(r["every"]), tuple(r["gates"] or ()), tuple(r["also"] or ())) for r in rows]
+
+
+def load_safe(spark: SparkSession, path: str) -> list[tuple]:
+    """Ordered rules of safe English titles from JSON lines of marks, stage, words, title; for :func:`tidemill.functions.titles.english_title`."""
+    rows = spark.read.schema("ord int, marks array<string>, stage string, words array<string>, title string").json(path).orderBy("ord").collect()
+    return [(tuple(r["marks"] or ()), r["stage"] or "", tuple(r["words"] or ()), r["title"]) for r in rows]
 
 
 def publish(raw: DataFrame, now: Column, areas: Sequence[Rule] = ()) -> DataFrame:
