@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,8 +23,8 @@ _BLOCK = 1 << 20
 def shared_root(spark: SparkSession) -> str:
     """Folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a folder of our own
-    is made and set, so that ``checkpoint()`` works as well.
+    Only where that setting is absent and driver and executors are one process (tests) a
+    folder of our own is made and set, so that ``checkpoint()`` works as well; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -31,6 +32,8 @@ def shared_root(spark: SparkSession) -> str:
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get().rstrip("/")
+    if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     root = "file://" + tempfile.mkdtemp(prefix="tidemill-")
     spark.sparkContext.setCheckpointDir(root)
     return root
@@ -118,6 +121,33 @@ def numbered(spark: SparkSession, df: DataFrame, order: list[str], value: str |
     return rows.mapInArrow(number, schema)
 
 
+def placed_by(spark: SparkSession, df: DataFrame, *order) -> DataFrame:
+    """The rows of ``df`` range-sorted and fixed by a checkpoint: ``part`` (long) is a row's partition, ``at`` its place among them all.
+
+    Both ascend in ``order``; rows that tie in it stand in any order, and are split over partitions by ``tied``, a number of no meaning.
+    """
+    rows = df.withColumn("tied", F.monotonically_increasing_id())
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(spark, rows.repartitionByRange(n, *order, "tied").sortWithinPartitions(*order, "tied")).drop("tied")
+    return rows.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33))
+
+
+def joined(left: DataFrame, right: DataFrame, on: tuple[str, str], n: str) -> DataFrame:
+    """Inner join of rows with one row a key, where ``n`` of ``right`` says how many rows of ``left`` have the key.
+
+    A key that holds more than its share goes by broadcast: of such keys there are HOT_KEYS at most.
+    ``left`` and ``right`` are read twice: they should be tables or checkpoints.
+    """
+    total = right.agg(F.sum(n).alias("t")).first()["t"] or 0
+    most = max(1000, total // HOT_KEYS)
+    hot = right.where(F.col(n) > most)
+    met = F.col(on[0]) == F.col(on[1])
+    rest = left.join(F.broadcast(hot.select(on[1])), met, "left_anti")
+    return left.join(F.broadcast(hot), met).union(rest.join(right.where(F.col(n) <= most), met))
+
+
+#: Keys that a join may broadcast for holding many rows each.
+HOT_KEYS = 20_000
 #: Partitions of one shuffle at most: beyond that a task has several shards.
 MOST_TASKS = 20_000
 
