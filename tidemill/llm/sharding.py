@@ -75,11 +75,13 @@ def feistel_shards(spark: SparkSession, df: DataFrame, order: list[str], shards:
     ``order`` must order the rows; rows that tie in all of it are the same to the
     operator and take neighbouring numbers in any order.  Null keys come first.
     The law is ``rows``: shards differ by one row at most, slots are gapless from 0.
-    An empty table gives an empty result.  Pass narrow rows (keys, sizes), not texts:
+    An empty table gives an empty result.  Columns named like a result are replaced, all others stay.  Pass narrow rows (keys, sizes), not texts:
     the range sort moves each row once.
     """
-    base = [c for c in df.columns if c.lower() not in ("rn", "before", "row_number", "shard", "slot")]
-    rows = numbered(spark, df.select(*base), order)
+    base = [c for c in df.columns if c.lower() not in ("row_number", "shard", "slot")]
+    keys = [F.col(f"`{c}`").alias(f"key{i}") for i, c in enumerate(order)]
+    rows = df.select(F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in base]).alias("row"), *keys)
+    rows = numbered(spark, rows, [f"key{i}" for i in range(len(order))])
     # the rows that numbered() keeps come from a checkpoint, so this count reads no table again
     n = rows.select(F.max("rn").alias("m")).first()["m"]
     n = 0 if n is None else n + 1
@@ -90,7 +92,7 @@ def feistel_shards(spark: SparkSession, df: DataFrame, order: list[str], shards:
 
     out = rows.withColumn("_at", at("rn"))
     return out.select(
-        *base,
+        *[F.col("row").getField(c).alias(c) for c in base],
         F.col("rn").alias("row_number"),
         (F.col("_at") % shards).cast("int").alias("shard"),
         F.floor(F.col("_at") / F.lit(shards)).cast("long").alias("slot"),
