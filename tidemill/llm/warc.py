@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import uuid
 import zlib
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, numbered
+from .common import by_shard, cut, joined, numbered
 
 #: Payload bytes of a shard, and compressed bytes after which a shard's file is closed and the next begun.
 SHARD_BYTES = 16 << 20
@@ -38,21 +39,30 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record_id(page: int | None, sha: str, copy: int) -> str:
+def _escaped(url: str) -> str:
+    return url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def _plain(url: str) -> str:
+    return url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+
+
+def _record_id(page: int | None, sha: str, copy: int | str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{sha}:{copy}')}>"
 
 
-def record(page: int | None, url: str | None, payload: bytes, refers_to: int | None, copy: int) -> bytes:
-    """One record: headers and digests made anew from the payload."""
+def record(page: int | None, url: str | None, payload: bytes, refers_to: int | None, copy: int | str) -> bytes:
+    """One record: headers and digests made anew from the payload.  Line ends in a url are escaped, and a header says so."""
     sha = digest(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
+    target = url or ""
+    broken = "\r" in target or "\n" in target
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
         ("WARC-Record-ID", _record_id(page, sha, copy)),
         ("WARC-Date", DATE),
-        ("WARC-Target-URI", target),
+        ("WARC-Target-URI", _escaped(target) if broken else target),
         ("WARC-Payload-Digest", f"sha1:{sha}"),
         ("WARC-Block-Digest", f"sha1:{digest(block)}"),
         ("Content-Type", "application/http; msgtype=response"),
@@ -60,6 +70,8 @@ def record(page: int | None, url: str | None, payload: bytes, refers_to: int | N
         ("X-Page-ID", "" if page is None else str(page)),
         ("X-URL-Null", str(int(url is None))),
     ]
+    if broken:
+        head.append(("X-URL-Escaped", "1"))
     if refers_to is not None:
         head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _record_id(refers_to, sha, 0)), ("X-Refers-To-Page", str(refers_to))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
@@ -103,34 +115,36 @@ def write_warc(spark: SparkSession, pages: DataFrame, out: str, key: str = "page
 
     Of the rows with equal payloads of at least ``least`` bytes, those with the smallest key are
     responses and the others revisits of it; shorter payloads are all responses.
-    Shards are key ranges of about SHARD_BYTES of payload, found from a distributed
-    prefix sum: they, the rolled files and every byte depend on the rows alone.  A task
+    Shards are ranges of (key, payload, url) with about SHARD_BYTES of payload, found from a distributed
+    prefix sum, each a task of its own: they, the rolled files and every byte depend on the rows alone.  A task
     writes to temporary names and renames, so a repeated task leaves the same files;
     the manifest is committed last, and only files that it lists count.
 
-    A null payload is empty, a null url is kept as null.  Rows with the same key and payload are
-    all of the same type (several responses if theirs is the smallest key); null keys come
-    first, and only if all keys of a payload are null are its rows responses.
+    A null payload is empty, a null url is kept as null, line ends in a url come back as they were.  Rows with the
+    same key and payload are all of the same type (several responses if theirs is the smallest key); null keys come
+    first, and only if all keys of a payload are null are its rows responses.  A key that very many rows have, as null may
+    be, takes several shards; only rows with the same key, payload and url stay together.
     An empty table gives an empty manifest.  Other columns are ignored.
     """
     rows = pages.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{url}`").alias("url"), F.encode(F.coalesce(F.col(f"`{html}`"), F.lit("")), "UTF-8").alias("payload"))
-    brief = rows.select(F.coalesce("key", F.lit(LOWEST)).alias("k"), F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("sha"), "key")
-    small = cut(spark, brief)
+    place = [F.coalesce("key", F.lit(LOWEST)).alias("k"), F.sha1("payload").alias("sha"), F.xxhash64("url").alias("u")]
+    small = cut(spark, rows.select(*place, F.octet_length("payload").cast("long").alias("n"), "key"))
     # keys of payloads that occur more than once: (payload, smallest key)
-    copied = small.where(F.col("n") >= least).groupBy("sha").agg(F.min("key").alias("first"), F.count("*").alias("c")).where("c > 1").select(F.col("sha").alias("f_sha"), "first")
-    revisits = small.join(copied, F.col("sha") == F.col("f_sha")).where(~F.col("key").eqNullSafe(F.col("first"))).select(F.col("k").alias("r_k"), F.col("sha").alias("r_sha"), "first").distinct()
-    sizes = numbered(spark, small.select("k", "n"), ["k", "n"], "n")
-    first = sizes.groupBy(F.floor(F.col("before") / F.lit(SHARD_BYTES)).alias("s")).agg(F.min("k").alias("first")).select("first").distinct().orderBy("first").collect()
-    bounds = spark.sparkContext.broadcast(np.array([r["first"] for r in first], np.int64))
+    copied = small.where(F.col("n") >= least).groupBy("sha").agg(F.min("key").alias("first"), F.count("*").alias("c")).where("c > 1").select(F.col("sha").alias("f_sha"), "first", "c")
+    revisits = joined(small.select("k", "sha", "key"), cut(spark, copied), ("sha", "f_sha"), "c")
+    revisits = revisits.where(~F.col("key").eqNullSafe(F.col("first"))).select(F.col("k").alias("r_k"), F.col("sha").alias("r_sha"), "first").distinct()
+    sizes = numbered(spark, small.select("k", "sha", "u", "n"), ["k", "sha", "u", "n"], "n")
+    first = sizes.groupBy(F.floor(F.col("before") / F.lit(SHARD_BYTES)).alias("s")).agg(F.min(F.struct("k", "sha", "u")).alias("first")).select("first.*").distinct().orderBy("k", "sha", "u").collect()
+    bounds = spark.sparkContext.broadcast([(r["k"], r["sha"], r["u"]) for r in first])
 
     @F.pandas_udf("long")
-    def shard_of(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds.value, k.to_numpy(), side="right") - 1)
+    def shard_of(k: pd.Series, sha: pd.Series, u: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(bounds.value, x) - 1 for x in zip(k.tolist(), sha.tolist(), u.tolist())], dtype="int64")
 
     def write(batches):
         now, last, copy, note = None, None, 0, None
         for batch in batches:
-            for s, k, sha, tag, null, u, first, payload in zip(*(c.to_pylist() for c in batch.columns[:7]), batch.column(7)):
+            for s, k, sha, _, tag, null, u, first, payload in zip(*(c.to_pylist() for c in batch.columns[:8]), batch.column(8)):
                 if not tag:
                     note = (k, sha, first)
                     continue
@@ -138,21 +152,23 @@ def write_warc(spark: SparkSession, pages: DataFrame, out: str, key: str = "page
                     if now is not None:
                         now.close()
                         yield _manifest(now.done)
-                    now = _Files(out, s)
+                    now, last = _Files(out, s), None
+                    begun = s > 0 and bounds.value[s][:2] == (k, sha)  # the shard before may hold copies of its first record
                 copy = copy + 1 if last == (k, null, sha) else 0
+                begun = begun and last in (None, (k, null, sha))
                 last = (k, null, sha)
                 to = note[2] if note and note[:2] == (k, sha) else None
-                now.add(member(record(None if null else k, u, payload.as_py(), to, copy)))
+                now.add(member(record(None if null else k, u, payload.as_py(), to, f"{s}-{copy}" if begun else copy)))
         if now is not None:
             now.close()
             yield _manifest(now.done)
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # what a row revisits travels as a narrow row just before it: the payloads are shuffled once
-    notes = revisits.select(F.col("r_k").alias("k"), F.col("r_sha").alias("sha"), F.lit(0).alias("tag"), F.lit(False).alias("null"), F.lit(None).cast("string").alias("url"), "first", F.lit(None).cast("binary").alias("payload"))
-    whole = rows.select(F.coalesce("key", F.lit(LOWEST)).alias("k"), F.sha1("payload").alias("sha"), F.lit(1).alias("tag"), F.col("key").isNull().alias("null"), "url", F.lit(None).cast("long").alias("first"), "payload")
-    placed = notes.union(whole).select(shard_of("k").alias("shard"), "*")
-    placed = placed.repartition(n, "shard").sortWithinPartitions("shard", "k", "sha", "tag", "url")
+    # what a row revisits travels as a narrow row just before it, in each of its shards: the payloads are shuffled once
+    notes = revisits.select(F.col("r_k").alias("k"), F.col("r_sha").alias("sha"), F.lit(LOWEST).alias("u"), F.lit(0).alias("tag"), F.lit(False).alias("null"), F.lit(None).cast("string").alias("url"), "first", F.lit(None).cast("binary").alias("payload"))
+    whole = rows.select(*place, F.lit(1).alias("tag"), F.col("key").isNull().alias("null"), "url", F.lit(None).cast("long").alias("first"), "payload")
+    placed = whole.select(shard_of("k", "sha", "u").alias("shard"), "*")
+    placed = placed.union(notes.select(F.explode(F.sequence(F.greatest(shard_of("k", "sha", "u"), F.lit(0)), shard_of("k", "sha", F.lit((1 << 63) - 1)))).alias("shard"), "*"))
+    placed = by_shard(placed, len(first)).sortWithinPartitions("shard", "k", "sha", "tag", "u", "url")
     placed.mapInArrow(write, "shard long, file string, bytes long, records long, sha256 string").write.parquet(f"{out}/manifest")
     bounds.unpersist()
     return out
@@ -196,10 +212,11 @@ def parsed(raw: bytes) -> dict:
     size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
     sha = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     revisit = fields["WARC-Type"] == "revisit"
+    url = None if fields["X-URL-Null"] == "1" else _plain(fields["WARC-Target-URI"]) if "X-URL-Escaped" in fields else fields["WARC-Target-URI"]
     if not revisit and (len(payload) != size or digest(payload) != sha):
         raise ValueError(f"payload of {fields['WARC-Record-ID']} is damaged")
     return {
-        "page_id": int(fields["X-Page-ID"]) if fields["X-Page-ID"] else None, "url": None if fields["X-URL-Null"] == "1" else fields["WARC-Target-URI"],
+        "page_id": int(fields["X-Page-ID"]) if fields["X-Page-ID"] else None, "url": url,
         "record_type": fields["WARC-Type"], "refers_to": int(fields["X-Refers-To-Page"]) if revisit else None, "payload_digest": sha, "payload_bytes": size, "payload": None if revisit else payload,
     }
 
