@@ -1,31 +1,27 @@
-"""Benchmark decontamination: a broadcast hash set of test n-grams against the windows of training texts."""
+"""Benchmark decontamination: a broadcast hash set of test n-grams against the windows of training texts.
+
+The set is broadcast up to MOST_WINDOWS windows and MOST_BYTES of text.  A larger benchmark stays distributed: the windows
+of texts that a broadcast filter of bounded size lets through meet those of the items in a join on hash and words.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gram_hashes, utf8, word_hashes, word_spans, word_table
+from .common import FILTER_BITS, chunks, cut, fresh, gram_hashes, key_filter, mix64, utf8, word_hashes, word_spans, word_table
 
 WINDOW = 10
-#: Test windows in one broadcast (about 100 bytes each with the item's words); more go in several, one pass over a batch each.
-MAX_WINDOWS = 1 << 20
+#: Test windows, and bytes of test texts, that are broadcast as they are; more go through a join.
+MOST_WINDOWS, MOST_BYTES = 1 << 20, 64 << 20
 _BITS = 20
 
 
-def _batches(column: pa.Array, limit: int = 4 << 20):
-    """Row ranges of a column with at most ``limit`` bytes of text, or one row."""
-    _, offs = utf8(column)
-    i, n = 0, len(offs) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
-
-
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     data, offs = utf8(column)
     s, e, doc = word_spans(data, offs, word_table("alnum"))
@@ -35,7 +31,7 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 class Windows:
     """Hashes of the windows of some items, by window length, and the items' words to verify them by."""
 
-    def __init__(self, ids: list[str], texts: list[str | None], window: int):
+    def __init__(self, ids: list[str | None], texts: list[str | None], window: int):
         data, s, e, doc, hashes = words_of(pa.array(texts, type=pa.string()))
         lower = bytes(data).lower()
         first = np.searchsorted(doc, np.arange(len(ids) + 1))
@@ -70,71 +66,160 @@ class Windows:
         return out
 
 
-def _items(spark: SparkSession, items: DataFrame, item_id: str, text: str, window: int):
-    """The items in slices of at most MAX_WINDOWS windows; only one slice is on the driver at a time."""
-    ids, texts, n = [], [], 0
-    rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct().orderBy("i", "t")
-    for r in rows.toLocalIterator():
-        size = max(1, len(r["t"]) // 2)
-        if ids and n + size > MAX_WINDOWS:
-            yield spark.sparkContext.broadcast(Windows(ids, texts, window))
-            ids, texts, n = [], [], 0
-        ids.append(r["i"])
-        texts.append(r["t"])
-        n += size
-    if ids:
-        yield spark.sparkContext.broadcast(Windows(ids, texts, window))
-
-
 def find_contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Which words of each text lie inside a window of a test item.
 
     Adds to ``docs``: ``n_words``, ``hit_spans`` (array of start, end of the maximal runs
     of hit words, as word numbers) and ``hit_items`` (sorted ids as strings).  A
     window is ``window`` consecutive words of an item, or a shorter item as a whole; equal hashes are
-    verified word by word.  The table of windows is broadcast, in slices of
-    MAX_WINDOWS each; with several slices each batch of texts is scanned against
-    one after the other, without a shuffle.
+    verified word by word.  A table of windows within MOST_WINDOWS and MOST_BYTES is broadcast and texts are not shuffled;
+    a larger one is joined with the windows of the texts.
 
-    Null and empty texts have no words and no hits; items without words, with a null id or a null text
-    have no windows; repeated items and items that share windows all count.  Repeated rows keep
+    Null and empty texts have no words and no hits; items without words or with a null text
+    have no windows; items with a null id hit words like others and are, together, one null at the end of ``hit_items``;
+    repeated items and items that share windows all count.  Repeated rows keep
     their own results.  Columns of ``docs`` named like a result are replaced.
     An empty table on either side gives no hits.
     """
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_words", "hit_spans", "hit_items")])
-    slices = list(_items(spark, items, item_id, item_text, window))
+    items = items.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t IS NOT NULL").distinct()
+    words = F.regexp_count("t", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    size = items.agg(F.sum(F.greatest(words - (window - 1), F.lit(1))).alias("windows"), F.sum(F.octet_length("t")).alias("bytes")).first()
+    if (size["windows"] or 0) <= MOST_WINDOWS and (size["bytes"] or 0) <= MOST_BYTES:
+        return _scanned(spark, docs, items, text, window)
+    return _met(spark, docs, items, text, window)
+
+
+def _added() -> list[T.StructField]:
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    added = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(span)), T.StructField("hit_items", T.ArrayType(T.StringType()))]
-    schema = T.StructType([*docs.schema.fields, *added])
+    return [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(span)), T.StructField("hit_items", T.ArrayType(T.StringType()))]
+
+
+def _in_order(ids) -> list[str | None]:
+    return sorted(ids, key=lambda i: (i is None, i))
+
+
+def _columns(first: np.ndarray, hits: list[tuple[int, int, int]], ids: list[list[str | None]]) -> list[pa.Array]:
+    """The columns of ``_added`` for a batch: ``first`` has each text's first word, hits are (text, first word in the batch, words)."""
+    edge = np.zeros(int(first[-1]) + 1, np.int64)
+    spans: list[list[dict]] = [[] for _ in range(len(first) - 1)]
+    for _, at, n in hits:
+        edge[at] += 1
+        edge[at + n] -= 1
+    if hits:
+        hit = np.cumsum(edge[:-1]) > 0
+        for d in {h[0] for h in hits}:
+            own = np.diff(np.concatenate([[0], hit[first[d] : first[d + 1]].astype(np.int8), [0]]))
+            spans[d] = [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(own > 0), np.flatnonzero(own < 0))]
+    return [pa.array(np.diff(first), type=pa.int64()), pa.array(spans, type=pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(ids, type=pa.list_(pa.string()))]
+
+
+def _scanned(spark: SparkSession, docs: DataFrame, items: DataFrame, text: str, window: int) -> DataFrame:
+    """Against a broadcast table."""
+    rows = items.orderBy("i", "t").collect()  # within MOST_WINDOWS and MOST_BYTES
+    shared = spark.sparkContext.broadcast(Windows([r["i"] for r in rows], [r["t"] for r in rows], window))
+    added = _added()
 
     def scan(batches):
         for whole in batches:
             texts = whole.column(whole.schema.get_field_index(text))
-            for i, j in _batches(texts):
+            for i, j in chunks(texts):
                 batch = whole.slice(i, j - i)
                 data, s, e, doc, hashes = words_of(texts.slice(i, j - i))
                 first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-                edge = np.zeros(len(s) + 1, np.int64)
-                items_of: dict[int, set[str]] = {}
-                for part in slices:
-                    for w, length, item in part.value.hits(data, s, e, doc, hashes):
-                        edge[w] += 1
-                        edge[w + length] -= 1
-                        items_of.setdefault(int(doc[w]), set()).add(part.value.ids[item])
-                spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-                if items_of:
-                    hit = np.cumsum(edge[:-1]) > 0
-                    for d in items_of:
-                        own = np.diff(np.concatenate([[0], hit[first[d] : first[d + 1]].astype(np.int8), [0]]))
-                        spans[d] = [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(own > 0), np.flatnonzero(own < 0))]
-                cols = [
-                    pa.array(np.diff(first), type=pa.int64()),
-                    pa.array(spans, type=pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array([sorted(items_of.get(d, ())) for d in range(batch.num_rows)], type=pa.list_(pa.string())),
-                ]
+                hits, ids = [], [set() for _ in range(batch.num_rows)]
+                for w, length, item in shared.value.hits(data, s, e, doc, hashes):
+                    hits.append((int(doc[w]), w, length))
+                    ids[int(doc[w])].add(shared.value.ids[item])
+                cols = _columns(first, hits, [_in_order(x) for x in ids])
                 yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *[f.name for f in added]])
 
-    return docs.mapInArrow(scan, schema)
+    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, *added]))
+
+
+_WINDOW = "n int, hash long, words string"
+
+
+def _windows(column: pa.Array, lengths: list[int], keep=None):
+    """(text, first word, length, hash, words) arrays of a batch's windows; ``keep`` says of hashes which are of use."""
+    data, s, e, doc, hashes = words_of(column)
+    first = np.searchsorted(doc, np.arange(len(column) + 1))
+    for n in lengths:
+        grams = gram_hashes(hashes, n)
+        at = np.flatnonzero(doc[: len(grams)] == doc[n - 1 :]) if len(grams) else np.zeros(0, np.int64)
+        if keep is not None and len(at):
+            at = at[keep(grams[at], n)]
+        words = [b" ".join(data[x:y].tobytes().lower() for x, y in zip(s[w : w + n], e[w : w + n])).decode() for w in at.tolist()]
+        yield doc[at], at - first[doc[at]], n, grams[at].view(np.int64), words
+
+
+def _salted(hashes: np.ndarray, n: int) -> np.ndarray:
+    return mix64(hashes + np.uint64(n))
+
+
+def _met(spark: SparkSession, docs: DataFrame, items: DataFrame, text: str, window: int) -> DataFrame:
+    """By a join; texts are known by their md5, so copies are looked up once and nothing depends on a row's place."""
+
+    def of_items(batches):
+        for batch in batches:
+            column = batch.column(1)
+            count = np.bincount(words_of(column)[3], minlength=len(column))
+            for n in np.unique(np.minimum(count, window)):
+                if not n:
+                    continue
+                own = np.flatnonzero(np.minimum(count, window) == n)
+                for doc, _, n_, hashes, words in _windows(column.take(pa.array(own)), [int(n)]):
+                    ids = batch.column(0).take(pa.array(own[doc]))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(doc), n_, np.int32)), pa.array(hashes), pa.array(words, pa.string())], names=["i", "n", "hash", "words"])
+
+    table = cut(spark, items.mapInArrow(of_items, "i string, " + _WINDOW).distinct())
+    lengths = [r["n"] for r in table.select("n").distinct().orderBy("n").collect()]  # ``window`` at most
+    keys = cut(spark, table.select("n", "hash").distinct())
+    count = keys.count()
+
+    def salted(batches):
+        for batch in batches:
+            key = _salted(batch.column(1).to_numpy().view(np.uint64), batch.column(0).to_numpy().astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
+
+    known = spark.sparkContext.broadcast(key_filter(keys.mapInArrow(salted, "key long"), count)) if 16 * count <= FILTER_BITS else None
+    texts = docs.select(F.col(f"`{text}`").alias("t")).where("t IS NOT NULL")
+
+    def of_texts(batches):
+        keep = None if known is None else lambda hashes, n: known.value.has(_salted(hashes, n))
+        for whole in batches:
+            for i, j in chunks(whole.column(0)):
+                column = whole.column(0).slice(i, j - i)
+                tids = pa.array([hashlib.md5(t.as_buffer() or b"").digest() for t in column], pa.binary())
+                for doc, at, n, hashes, words in _windows(column, lengths, keep):
+                    cols = [tids.take(pa.array(doc)), pa.array(at), pa.array(np.full(len(doc), n, np.int32)), pa.array(hashes), pa.array(words, pa.string())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["tid", "at", "n", "hash", "words"])
+
+    found = texts.mapInArrow(of_texts, "tid binary, at long, " + _WINDOW).distinct()
+    theirs = table.select("i", *[F.col(c).alias(f"i_{c}") for c in ("n", "hash", "words")])
+    met = (F.col("hash") == F.col("i_hash")) & (F.col("n") == F.col("i_n")) & (F.col("words") == F.col("i_words"))
+    hits = cut(spark, found.join(theirs, met).select("tid", "at", "n", "i"))
+    spots = hits.select("tid", "at", "n").distinct().groupBy(F.col("tid").alias("s_tid")).agg(F.collect_list(F.struct("at", "n")).alias("spots"))
+    named = hits.select("tid", F.struct("i").alias("i")).distinct().groupBy("tid").agg(F.collect_list("i").alias("ids"))
+    hits = cut(spark, spots.join(named, F.col("tid") == F.col("s_tid")).drop("s_tid"))
+    tid, h_tid, h_spots, h_ids = fresh(docs, "tid", "h_tid", "h_spots", "h_ids")
+    hits = hits.select(F.col("tid").alias(h_tid), F.col("spots").alias(h_spots), F.col("ids").alias(h_ids))
+    rows = docs.withColumn(tid, F.unhex(F.md5(F.col(f"`{text}`")))).join(hits, F.col(tid) == F.col(h_tid), "left").drop(tid, h_tid)
+    n_cols, added = len(docs.columns), _added()
+
+    def mark(batches):
+        for whole in batches:
+            texts = whole.column(whole.schema.get_field_index(text))
+            for i, j in chunks(texts):
+                batch = whole.slice(i, j - i)
+                doc = words_of(texts.slice(i, j - i))[3]
+                first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+                spots = batch.column(n_cols).to_pylist()
+                ids = [_in_order(x["i"] for x in own or ()) for own in batch.column(n_cols + 1).to_pylist()]
+                hits = [(d, int(first[d]) + x["at"], x["n"]) for d, own in enumerate(spots) for x in own or ()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n_cols], *_columns(first, hits, ids)], names=[*batch.schema.names[:n_cols], *[f.name for f in added]])
+
+    return rows.mapInArrow(mark, T.StructType([*docs.schema.fields, *added]))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, action: str = "documents", text: str = "text", **options) -> DataFrame:
@@ -167,5 +252,3 @@ def decontaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, actio
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
     return found.mapInArrow(cut_out, found.schema).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
