@@ -228,6 +228,31 @@ def test_secrets_of_a_text_with_very_many(spark):
 # ---------------------------------------------------------------- mixing
 
 
+def test_mix_of_one_hot_key_many_sources_and_clashing_columns(spark):
+    from tidemill.llm.mixing import mix
+
+    rows = [(None, "big", 3) for _ in range(400)] + [(i, f"host{i:03d}", i % 7) for i in range(300)] + [(i, None, 5) for i in range(10)] + [(1, "none", None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n long").selectExpr("*", "7 as mix_taken", "8 as MIX_TARGET", "'x' as row", "1 as part")
+    found = mix(spark, df, "doc_id", "source", "n", [5, 2, 1])
+    assert found.columns == ["doc_id", "source", "n", "row", "part", "mix_source_size", "mix_target", "mix_taken"]
+    by = collections.defaultdict(list)
+    for r in found.collect():
+        by[r["source"]].append(r)
+    sizes = {s: sum(r["n"] or 0 for r in own) for s, own in by.items()}
+    names = sorted((s for s in sizes if s is not None)) + [None]
+    weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    level, total = 0.0, sum(sizes.values())  # by bisection
+    low, high = 0.0, 3.0 * total
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(3 * sizes[s], level * weights[s]) for s in names) < total else (low, level)
+    for s, own in by.items():
+        assert all(r["mix_source_size"] == sizes[s] and abs(r["mix_target"] - min(3 * sizes[s], level * weights[s])) < 1e-6 for r in own)
+        assert sum(r["mix_taken"] for r in own) == round(own[0]["mix_target"]) and all(r["mix_taken"] <= 3 * (r["n"] or 0) for r in own)
+    assert mix(spark, df.limit(0), "doc_id", "source", "n", [5, 2, 1]).count() == 0
+
+
+
 def test_mix_takes_each_sources_budget(spark):
     from pyspark.sql import functions as F
 
@@ -283,13 +308,35 @@ def test_archives_round_trip(spark, tmp_path, monkeypatch):
         want = first.get(h)
         assert (r["record_type"], r["refers_to"]) == (("response", None) if want == r["page_id"] else ("revisit", want))
         assert r["record_type"] == "revisit" or bytes(r["payload"]) == h.encode()
-    assert sum(r["url"] is None for r in rows) == 1
+    assert sum(r["url"] is None for r in rows) == 1 and sum(r["url"] == "u\r\nx" for r in rows) == 1
     again = warc.write_warc(spark, df.repartition(2), f"file://{tmp_path}/b")
     files = lambda p: {f.name: f.read_bytes() for f in p.glob("*.warc.gz")}
     assert files(tmp_path / "a") == files(tmp_path / "b") and len(files(tmp_path / "a")) > 3 and again
     assert not list((tmp_path / "a").glob("_temporary*"))
 
 
+def test_a_key_of_very_many_records_takes_several_shards(spark, tmp_path, monkeypatch):
+    from tidemill.llm import common, warc
+
+    monkeypatch.setattr(warc, "SHARD_BYTES", 3000)
+    monkeypatch.setattr(common, "HOT_KEYS", 1)  # the key of most copies goes by broadcast
+    pages = [(None, f"u{i}", "a" * 100) for i in range(120)] + [(None, f"v{i}", f"{i}" * 50) for i in range(60)]
+    pages += [(5, f"w{i}%\n%0A", "a" * 100) for i in range(50)] + [(6, "x", "b" * 100), (9, "x", "b" * 100)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    out = warc.write_warc(spark, df, f"file://{tmp_path}/a")
+    rows = warc.read_warc(spark, out).collect()
+    assert collections.Counter((r["page_id"], r["url"]) for r in rows) == collections.Counter(p[:2] for p in pages)
+    kinds = collections.Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in rows if r["payload_bytes"] == 100 and not (r["url"] or "").startswith("v"))
+    assert kinds == {(None, "revisit", 5): 120, (5, "response", None): 50, (6, "response", None): 1, (9, "revisit", 6): 1}
+    held = collections.Counter(r["file"].split("-")[1] for r in rows if r["page_id"] is None)
+    assert len(held) > 4 and max(held.values()) < 60
+    ids = []
+    for f in (tmp_path / "a").glob("*.warc.gz"):
+        with f.open("rb") as stream:
+            ids += [re.search(rb"WARC-Record-ID: (\S+)", raw)[1] for _, raw in warc.members(stream)]
+    assert len(ids) == len(set(ids)) == len(pages)
+
+
 def test_damaged_records_are_found():
     from tidemill.llm.warc import parsed, record
 
@@ -328,6 +375,77 @@ def brute_groups(rows):
     return sorted((-1 if k is None else k, len(sets[i]), -1 if (low := least.get(find(i), k)) is None else low) for i, (k, _) in enumerate(rows))
 
 
+@pytest.mark.parametrize("batch", [3, 4000])
+def test_shared_elements_are_counted_exactly(spark, batch):
+    """Against brute force: an element of all sets, elements of two batches, sets that lie in one batch several times."""
+    from tidemill.llm import jaccard as J
+
+    rng = np.random.default_rng(batch)
+    common = rng.integers(0, 2**63, 6, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common[:1], rng.choice(common, 2), rng.integers(0, 2**63, 12, dtype=np.uint64)])) for _ in range(40)]
+    sets[1] = np.unique(np.concatenate([sets[0][:9], sets[1]]))
+    batches = [sets[i : i + batch] for i in range(0, 40, batch)]
+    batches[0] = batches[0] + batches[0][:1]  # a copy within the batch
+    rows = []
+    for part in batches:
+        for b in J._packed(part, [J.identity(x) for x in part], 16, 5):
+            rows += b.to_pylist()
+    packed = spark.createDataFrame([(r["slice"], r["elements"], r["places"], r["sids"]) for r in rows], J._PACKED)
+    got = {bytes(r["sid"]): r["shared"] for r in J._shared(packed, 5).collect()}
+    times = collections.Counter(x for s in sets for x in s.tolist())
+    assert got == {J.identity(s): n for s in sets if (n := sum(times[x] > 1 for x in s.tolist()))}
+    entries = sum(len(r["elements"]) // 4 for r in rows if r["slice"] >= 0)
+    assert entries == sum(len({x for s in part for x in s.tolist()}) for part in batches)  # an element is one entry a batch
+
+
+def test_links_join_stars_and_chains(spark):
+    from tidemill.llm import jaccard as J
+
+    rng = np.random.default_rng(4)
+    ids = rng.permutation(700).tolist()
+    pairs = [(ids[0], x) for x in ids[1:400]] + list(zip(ids[400:460], ids[401:461])) + [(ids[460 + k], ids[460 + k // 2]) for k in range(1, 120)] + [(ids[0], ids[1])] * 3
+    found = {r["x"]: r["root"] for r in J._joined(spark, None, spark.createDataFrame(pairs, "a long, b long")).collect()}
+    groups = [ids[:400], ids[400:461], ids[461:580] + [ids[460]]]
+    groups[1:] = [ids[400:580]]  # the chain's end is the tree's root
+    assert found == {x: min(g) for g in groups for x in g if x != min(g)}
+
+
+def test_groups_with_a_passage_in_all_texts_and_a_chain(spark, monkeypatch):
+    """Every text holds the same passage; neighbours of a chain are alike, its ends are not; others meet keys and aren't alike."""
+    from tidemill.llm import common, jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 3)
+    monkeypatch.setattr(jaccard, "COSTED", 8)
+    monkeypatch.setattr(common, "HOT_KEYS", 1)
+    rng = np.random.default_rng(8)
+    passage = "this very passage stands in all of the texts of the table".split()
+    words = [f"w{k}" for k in range(3000)]
+    chain = rng.choice(words, 160).tolist()
+    rows = []
+    for k in range(12):  # each changes eight words of the one before
+        rows.append((100 + k, " ".join(passage + chain)))
+        for j in range(8):
+            chain[(k * 13 + j) % 160] = f"c{k}-{j}"
+    half = rng.choice(words, 30).tolist()
+    rows += [(200 + k, " ".join(passage + half + rng.choice(words, 30).tolist())) for k in range(20)]  # a third in common: no link
+    rows += [(300 + k, " ".join(passage + rng.choice(words, 50).tolist())) for k in range(30)] + [(1000 + k, rows[0][1]) for k in range(40)]
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(spark, frame(spark, [(i, t, None, None, 0) for i, t in rows])).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)} for i, t in rows}
+    root = {i: i for i, _ in rows}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in root:
+        for j in root:
+            if i < j and 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    assert found == {i: top(i) for i in root} and found[111] == 100 and found[200] == 200
+
+
 @pytest.mark.parametrize("seed", [7, 8])
 def test_groups_are_those_of_all_pairs(spark, monkeypatch, seed):
     from tidemill.llm import jaccard
@@ -493,24 +611,26 @@ def brute_windows(text, items):
     for i, t in items:
         w = low(t)
         n = min(10, len(w))
-        if i is None or not n:
+        if not n:
             continue
         own = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
         for k in range(len(words) - n + 1):
             if tuple(words[k : k + n]) in own:
                 hit.update(range(k, k + n))
-                have.add(str(i))
-    return len(words), sorted(hit), sorted(have)
+                have.add(None if i is None else str(i))
+    return len(words), sorted(hit), sorted(have, key=lambda i: (i is None, i))
 
 
-@pytest.mark.parametrize("most", [1 << 20, 30])
-def test_windows_as_by_brute_force(spark, monkeypatch, most):
+@pytest.mark.parametrize("most,bits", [(1 << 20, 1 << 28), (10, 1 << 28), (10, 0)])
+def test_windows_as_by_brute_force(spark, monkeypatch, most, bits):
+    """By a broadcast table, by a join behind a filter, and by a join without one."""
     from tidemill.llm import decontamination as D
 
-    monkeypatch.setattr(D, "MAX_WINDOWS", most)
+    monkeypatch.setattr(D, "MOST_WINDOWS", most)
+    monkeypatch.setattr(D, "FILTER_BITS", bits)
     rows = corpus()
     passage = rows[-8][1].split(" ")
-    items = [(10, " ".join(rows[40][1].split(" ")[:14])), (9, "ALPHA; beta: gamma"), (2, None), (None, "alpha"), (3, ""), (4, " ".join(passage[5:17]).upper()), (4, " ".join(passage[5:17]).upper())]
+    items = [(10, " ".join(rows[40][1].split(" ")[:14])), (9, "ALPHA; beta: gamma"), (2, None), (None, "alpha"), (None, "theta iota"), (3, ""), (4, " ".join(passage[5:17]).upper()), (4, " ".join(passage[5:17]).upper())]
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = D.find_contamination(spark, frame(spark, clashing=True), bench).collect()
     assert len(found) == len(rows)
@@ -527,6 +647,43 @@ def test_windows_as_by_brute_force(spark, monkeypatch, most):
 # --------------------------------------------------------------- toxicity
 
 
+def test_gradients_are_those_of_the_risk():
+    from tidemill.llm import toxicity as X
+
+    rng = np.random.default_rng(2)
+    seen = set()
+    for shift in (-2.0, 0.0, 3.0):
+        fp, fu = rng.normal(size=7) + shift, rng.normal(size=11) - shift
+        plain = lambda a, b: sum(0.3 * np.log1p(np.exp(-x)) for x in a) / 7 + max(0, sum(np.log1p(np.exp(x)) for x in b) / 11 - 0.3 * sum(np.log1p(np.exp(x)) for x in a) / 7)
+        assert abs(X.risk(fp, fu, 0.3) - plain(fp, fu)) < 1e-12
+        low = X.excess(fp, fu, 0.3) < 0
+        seen.add(low)
+        of = (lambda a, b: -X.excess(a, b, 0.3)) if low else (lambda a, b: X.risk(a, b, 0.3))
+        for one, g in zip((0, 1), X.gradients(fp, fu, 0.3)):
+            for k in range(len(g)):
+                up, down = [fp.copy(), fu.copy()], [fp.copy(), fu.copy()]
+                up[one][k] += 1e-6
+                down[one][k] -= 1e-6
+                assert abs((of(*up) - of(*down)) / 2e-6 - g[k]) < 1e-6
+    assert seen == {True, False}
+
+
+def test_a_fit_draws_on_bounded_rows(spark, monkeypatch):
+    """Repeated ids bring one text, long texts their most telling features; scores stay right."""
+    from tidemill.llm import toxicity as X
+
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(400)]
+    text = lambda i: " ".join(rng.choice(words, 40)) + (" vile scum rotten" if i % 6 == 0 else "")
+    rows = [(i, text(i)) for i in range(900)] + [(6, "vile scum rotten " + " ".join(words) * 5)] + [(0, f"vile scum {k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(0, 900, 2)], "doc_id long, toxic int")
+    monkeypatch.setattr(X, "MOST_FEATURES", 6)
+    found = X.score_toxicity(spark, docs, labels).collect()
+    held = [r for r in found if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 and r["doc_id"] not in (0, 6)]
+    assert len(found) == len(rows) and np.mean([r["tox_predicted"] == int(r["doc_id"] % 6 == 0) for r in held]) > 0.97
+
+
 def test_toxicity_is_learnt_from_the_open_folds(spark):
     from tidemill.llm.toxicity import CUT, score_toxicity
 
