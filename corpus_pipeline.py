@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import cut, written
+from tidemill.llm.common import cut, joined, written
 from tidemill.llm.decontamination import decontaminated
 from tidemill.llm.jaccard import set_groups
 from tidemill.llm.mixing import mix, word_count
@@ -38,8 +38,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = docs.select(*COLUMNS)
     docs = docs.withColumn("row", row_mark(docs))
     groups = set_groups(spark, docs, "doc_id", "text", "row").where("grp IS NOT NULL")
-    least = groups.groupBy("grp").agg(F.min("key").alias("low")).withColumnRenamed("grp", "g")
-    first = groups.join(least, F.col("grp") == F.col("g")).where(F.col("key").eqNullSafe(F.col("low")))
+    least = cut(spark, groups.groupBy(F.col("grp").alias("g")).agg(F.min("key").alias("low"), F.count("*").alias("members")))
+    first = joined(groups, least, ("grp", "g"), "members").where(F.col("key").eqNullSafe(F.col("low")))
     # equal rows are in one group, so a mark has one
     first = cut(spark, first.groupBy("grp", F.col("row").alias("k")).agg(F.count("*").alias("rows")))
     sizes = first.groupBy(F.col("grp").alias("g")).agg(F.sum("rows").alias("rows"), F.min("k").alias("k"))

@@ -74,6 +74,22 @@ def test_repeats_are_removed_as_by_brute_force(spark, monkeypatch, hot):
         assert r["key"] == "key"
 
 
+@pytest.mark.parametrize("core", [193, 196, 260])
+def test_repeats_around_one_core(spark, monkeypatch, core):
+    """Many different rims around a common passage: one anchor, few pieces; some rims are alike."""
+    from tidemill.llm import substrings
+
+    monkeypatch.setattr(substrings, "HOT", 5)
+    rng = np.random.default_rng(core)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    text = lambda n: "".join(letters[k] for k in rng.integers(0, len(letters), n))
+    passage, rims = text(core), [(text(6), text(6)) for _ in range(6)]
+    texts = [text(int(rng.integers(0, 40))) + a + passage + b + text(int(rng.integers(0, 40))) for k in range(40) for a, b in [rims[k % 6] if k % 3 == 0 else (text(6), text(6))]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = substrings.remove_repeats(spark, df).orderBy("doc_id").collect()
+    assert [bytes(r["kept"]) for r in rows] == brute_repeats([t.encode() for t in texts], 200)
+
+
 def test_suffix_array_with_small_memory():
     from tidemill.llm.induced import suffix_array
 

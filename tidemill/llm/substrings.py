@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BASE, _BYTE, FILTER_BITS, _powers_of, cut, fresh, key_filter, mix64, utf8, written
+from .common import _BASE, _BYTE, FILTER_BITS, _powers_of, cut, fresh, joined, key_filter, mix64, removed, utf8, written
 from .induced import suffix_array
 
 #: Bytes of an anchor, and of text hashed at a time.
 ANCHOR = 100
 CHUNK = 1 << 18
-#: Bytes of segments in a shard, and segments of one anchor beyond which its strings are dealt out in smaller pieces.
+#: Bytes of segments in a shard; segments of one anchor beyond which its strings are dealt out in smaller pieces, of so many
+#: strings, and pieces of one core beyond which each string goes by itself.
 SHARD = 6 << 20
 HOT, PIECE = 20_000, 8
 _POSITION = np.uint64((1 << 24) - 1)
@@ -154,6 +155,20 @@ def _pieces(length: int):
     return run
 
 
+def _strings(length: int):
+    """mapInArrow function: each string of a piece by itself, with its md5."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for _, _, key, sid, at, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                rows += [(hashlib.md5(raw[i : i + length]).digest(), key, sid, at + i) for i in range(n)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.binary(), pa.int32()))], names=["h", "key", "sid", "at"])
+
+    return run
+
+
 def _sorted(contents: DataFrame, length: int) -> DataFrame:
     """(key, id, bytes), each once, to (key, id, mask): anchors are dealt out into shards."""
     volume = contents.agg(F.sum(F.octet_length("bytes")).alias("v")).first()["v"] or 0
@@ -161,11 +176,11 @@ def _sorted(contents: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(_repeats(length), "key long, id binary, mask binary")
 
 
-def find_repeats(spark: SparkSession, docs: DataFrame, text: str, length: int = 200) -> tuple[DataFrame, list[str]]:
+def find_repeats(spark: SparkSession, docs: DataFrame, text: str, length: int = 200) -> tuple[DataFrame, str]:
     """Parts of each distinct text that occur again: (tid: md5 of the text's bytes, whole: whether all of it does, parts: array of first, n, mask).
 
     A part is ``n`` strings from ``first`` on; where there is a mask, those whose bits are set.
-    Texts without any are missing.  The tables that the result reads are returned beside it.
+    Texts without any are missing.  The place of the table that holds the result is returned beside it.
     """
     if not ANCHOR < length < 256:
         raise ValueError(f"length must be between {ANCHOR + 1} and 255")
@@ -229,6 +244,16 @@ def find_repeats(spark: SparkSession, docs: DataFrame, text: str, length: int =
     if hot.count():
         split = contents.join(hot, F.col("key") == F.col("k"), "left_semi").select("key", "id", "anchor", "bytes")
         split = split.mapInArrow(_pieces(length), "piece long, id binary, key long, sid binary, at int, n int, bytes binary")
+        split = cut(spark, split)
+        # pieces that many rims share with a common core would be one task: their strings are told apart by themselves
+        crowded = cut(spark, split.select("piece", "id").distinct().groupBy("piece").count().where(F.col("count") > HOT).select(F.col("piece").alias("c_piece")))
+        among = F.col("piece") == F.col("c_piece")
+        if crowded.count():
+            strings = cut(spark, split.join(crowded, among, "left_semi").mapInArrow(_strings(length), "h binary, key long, sid binary, at int"))
+            again = cut(spark, strings.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("n")).where("n > 1"))
+            single = joined(strings, again, ("h", "g"), "n").select("key", "sid", "at", F.lit(1).alias("m"), F.lit(None).cast("binary").alias("mask"))
+            masks = masks.union(single)
+            split = cut(spark, split.join(crowded, among, "left_anti"))
         of_piece = split.groupBy("piece", "id").agg((F.min("sid") != F.max("sid")).alias("twice"), F.first("bytes").alias("bytes"))
         sorted_ = _sorted(of_piece.select(F.col("piece").alias("key"), "id", "bytes"), length).withColumnRenamed("key", "p").withColumnRenamed("id", "i")
         sorted_ = of_piece.drop("bytes").join(sorted_, (F.col("piece") == F.col("p")) & (F.col("id") == F.col("i"))).select("p", "i", F.when(~F.col("twice"), F.col("mask")).alias("mask"))
@@ -243,7 +268,9 @@ def find_repeats(spark: SparkSession, docs: DataFrame, text: str, length: int =
     parts = easy.union(rest).groupBy("tid").agg(F.collect_set(F.struct("first", "n", "mask")).alias("parts"))
     copies = texts.groupBy(F.unhex(F.md5("t")).alias("tid")).count().where("count > 1").select(F.col("tid").alias("c"))
     result = parts.join(copies, F.col("tid") == F.col("c"), "full_outer")
-    return result.select(F.coalesce("tid", "c").alias("tid"), F.col("c").isNotNull().alias("whole"), "parts"), [repeated_at, found_at, contents_at, masks_at]
+    result, result_at = written(spark, result.select(F.coalesce("tid", "c").alias("tid"), F.col("c").isNotNull().alias("whole"), "parts"), "repeats")
+    removed(spark, repeated_at, found_at, contents_at, masks_at)  # before the texts are moved
+    return result, result_at
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, text: str = "text", length: int = 200) -> DataFrame:

@@ -491,7 +491,11 @@ def candidate_reason(spark, d):
     return table(spark, d, "documents").select("doc_id", compare.first_reason([("missing", F.col("lang").isNull()), ("short", F.col("n_chars") < 300), ("contact", t.contains("@")), ("secret", t.contains("token"))]).alias("reason"))
 
 
-@query("rss_items")
+_XML = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+
+
+@query("rss_items", f"""SELECT o_orderkey, '<item><title>' || {_XML.format("o_orderpriority || ' ' || o_orderstatus")} || '</title><link>' || {_XML.format("'https://example.org/?a=1&o=' || o_orderkey")} || '</link><guid isPermaLink="false">' || o_orderkey
+ || '</guid><pubDate>' || strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S') || ' +0000</pubDate></item>' AS item FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50""")
 def rss_items(spark, d):
     return feeds_out.rss_items(table(spark, d, "orders").withColumn("title", F.concat_ws(" ", "o_orderpriority", "o_orderstatus")).withColumn("link", F.concat(F.lit("https://example.org/?a=1&o="), "o_orderkey")), "title", "link", "o_orderdate", "o_orderkey")
 

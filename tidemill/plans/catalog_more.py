@@ -277,7 +277,10 @@ def escaped_html(spark, d):
     return table(spark, d, "pages").select("page_id", text.escape_html(F.col("url")).alias("url"))
 
 
-@query("title_keys")
+_KEY = r"replace(regexp_replace(lower(nfc_normalize(text)), '[\p{P}\p{S}\p{Z}\p{C}]', '', 'g'), 'ß', 'ss')"
+
+
+@query("title_keys", f"SELECT item_id, {_KEY} AS key, trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM benchmark")
 def title_keys(spark, d):
     return table(spark, d, "benchmark").select("item_id", text.title_key(F.col("text")).alias("key"), text.clean_markup(F.col("text")).alias("plain"))
 
@@ -288,10 +291,24 @@ def text_change_spans(spark, d):
     return b.select("item_id", F.explode(text.change_spans(F.col("text"), F.replace(F.col("text"), F.lit(" the "), F.lit(" a ")))).alias("s")).select("item_id", "s.*")
 
 
-@query("kanji_numerals")
+_LEAD = ("", "", "二", "三", "四", "五", "六", "七", "八", "九")
+_ONES = ("", "一", *_LEAD[2:])
+_PARTS = "CASE WHEN n >= 100 THEN {lead}[n // 100 + 1] || '百' ELSE '' END || CASE WHEN n // 10 % 10 > 0 THEN {lead}[n // 10 % 10 + 1] || '十' ELSE '' END || {ones}[n % 10 + 1]".format(lead=list(_LEAD), ones=list(_ONES))
+
+
+@query("kanji_numerals", f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 1000 AS n FROM orders),
+t AS (SELECT k, n, CASE WHEN k % 50 = 0 THEN '元' WHEN k % 4 = 0 THEN {_PARTS} WHEN k % 4 = 1 THEN translate(k::VARCHAR, '0123456789', '〇一二三四五六七八九') WHEN k % 4 = 2 THEN k::VARCHAR ELSE 'x' || k END AS t FROM o),
+v AS (SELECT *, CASE WHEN k % 50 = 0 OR k % 4 = 3 THEN NULL WHEN k % 4 = 0 THEN nullif(n, 0) ELSE k END AS v FROM t)
+SELECT k AS o_orderkey, t, CASE WHEN k % 4 <> 1 OR k < 10 THEN v END AS short, CASE WHEN k % 50 = 0 THEN 1 ELSE v END AS free, v AS strict FROM v""")
 def kanji_numerals(spark, d):
-    rows = spark.createDataFrame([("三百二十一",), ("二〇二四",), ("千五",), ("十",), ("12",), ("x",)], "t string")
-    return rows.select("t", numerals.short_number("t").alias("short"), numerals.free_number("t").alias("free"), numerals.strict_number("t").alias("strict"))
+    key = F.col("o_orderkey")
+    n, of = key % 1000, lambda names, i: F.element_at(F.array(*[F.lit(x) for x in names]), (i + 1).cast("int"))
+    tens = F.floor(n / 10) % 10
+    units = F.concat(F.when(n >= 100, F.concat(of(_LEAD, F.floor(n / 100)), F.lit("百"))).otherwise(""), F.when(tens > 0, F.concat(of(_LEAD, tens), F.lit("十"))).otherwise(""), of(_ONES, n % 10))
+    placed, plain = F.translate(key.cast("string"), "0123456789", numerals.DIGITS), key.cast("string")
+    t = F.when(key % 50 == 0, "元").when(key % 4 == 0, units).when(key % 4 == 1, placed).when(key % 4 == 2, plain).otherwise(F.concat(F.lit("x"), plain))
+    rows = table(spark, d, "orders").select(key, t.alias("t"))
+    return rows.select(key, "t", numerals.short_number("t").alias("short"), numerals.free_number("t").alias("free"), numerals.strict_number("t").alias("strict"))
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
