@@ -414,6 +414,42 @@ def test_shared_elements_are_counted_exactly(spark, batch):
     assert entries == sum(len({x for s in part for x in s.tolist()}) for part in batches)  # an element is one entry a batch
 
 
+def test_similar_sets_take_little_disk(spark, monkeypatch):
+    """In many slices an element brings its set's short name at most; a step's shuffle files go when it has ended."""
+    import glob
+
+    from tidemill.llm import jaccard as J
+
+    root = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()[0].getPath()
+    shuffles = lambda: set(glob.glob(f"{root}/**/shuffle_*.data", recursive=True))
+    before, names, left = shuffles(), [], []
+
+    def shared(packed, *more, real=J._shared):
+        r = packed.where("slice >= 0").selectExpr("sum(octet_length(sids)) / sum(octet_length(elements)) * 4 x").first()
+        names.append(r["x"])
+        left.append(shuffles() - before)
+        return real(packed, *more)
+
+    def members(keys, real=J._members):
+        left.append(shuffles() - before)
+        return real(keys)
+
+    monkeypatch.setattr(J, "_shared", shared)
+    monkeypatch.setattr(J, "_members", members)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        rows = [(i, " ".join(f"w{i // 2}x{k}" for k in range(30)) + f" end{i}", None, None, 0) for i in range(40)]
+        found = J.similar_groups(spark, frame(spark, rows)).collect()
+        assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(i, i - i % 2) for i in range(40)}
+    assert len(names) == 2 and max(names) <= 8
+    # those of the counts that the test itself has made, at most
+    assert len(left) == 3 and all(len(x) <= 2 for x in left)
+
+
 def test_links_join_stars_and_chains(spark):
     from tidemill.llm import jaccard as J
 
