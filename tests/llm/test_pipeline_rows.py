@@ -40,3 +40,25 @@ def test_each_row_of_a_shared_key_gets_its_own_take(spark, tmp_path):
         sizes = [len(t.split()) for t in per_source[source]]
         assert sum(sizes) == want  # the budget to the word
         assert len([t for t in per_source[source] if t not in texts]) <= 1  # one text at most is cut short
+
+
+def test_texts_reach_workers_in_small_batches(spark, monkeypatch, tmp_path):
+    """Whole texts go to Python in batches of TEXT_ROWS rows, and the session's setting comes back."""
+    import corpus_pipeline as P
+    from tidemill.llm import common, jaccard, token_output
+
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    before = spark.conf.get(name)
+
+    def written(spark, df, what, real=common.written):
+        seen[what] = int(spark.conf.get(name))
+        return real(spark, df, what)
+
+    monkeypatch.setattr(jaccard, "written", written)
+    monkeypatch.setattr(token_output, "written", written)
+    rows = [(i, words(f"t{i // 2}x"), "en", "src0", 0) for i in range(6)]
+    assert P.near_duplicates(spark, frame(spark, rows), str(tmp_path)).count() == 3
+    assert P.token_ids(spark, frame(spark, rows), str(tmp_path)).count() == 6
+    assert {k: seen[k] for k in ("sizes", "sets", "counts")} == dict.fromkeys(("sizes", "sets", "counts"), common.TEXT_ROWS)
+    assert spark.conf.get(name) == before and common.TEXT_ROWS < 10_000
+    assert list(common.tidied(lambda batches: (2 * b for b in batches))([1, 2])) == [2, 4]

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import LOWER, by_shard, chunks, cut, numbered, removed, shared_path, utf8, written
+from .common import LOWER, by_shard, chunks, cut, numbered, removed, shared_path, text_batches, tidied, utf8, written
 
 MAGIC = b"TMRANS1\n"
 SCALE = 20
@@ -290,7 +290,8 @@ def write_ids(spark: SparkSession, docs: DataFrame, out: str, tokenizer: str, ke
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(have), np.int32)), pa.array(have), pa.array(counts[have]), pa.nulls(len(have), pa.binary())], names=names)
 
     names = ["kind", "a", "b", "ids"]
-    counted, counted_at = written(spark, docs.mapInArrow(count, "kind int, a long, b long, ids binary"), "counts")
+    with text_batches(spark):
+        counted, counted_at = written(spark, docs.mapInArrow(tidied(count), "kind int, a long, b long, ids binary"), "counts")
     per_id = counted.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).collect()  # at most the vocabulary
     counts = np.zeros(max([end_id, *(r["a"] for r in per_id)]) + 1, np.int64)
     for r in per_id:

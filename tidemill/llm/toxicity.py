@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, cut, mix64, utf8, word_hashes, word_spans, word_table
+from .common import chunks, cut, mix64, tidied, utf8, word_hashes, word_spans, word_table
 
 #: Bounds of the fitting sample: confirmed examples and unlabelled texts, and telling features of each (those that tell most).
 MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 4000, 10000, 2048
 #: Hashed features: whole words, and their first 4, 5 and 7 bytes.
 BITS, PREFIXES = 20, (4, 5, 7)
 CUT = 0.7
+#: Bytes of text whose features are worked out at a time (or one text).
+_CHUNK = 1 << 20
 _SIZE = 1 << BITS
 FOLDS = (0, 2)
 
@@ -172,14 +174,14 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, doc_id: str = "
 
     def extract(batches):
         for batch in batches:
-            for i, j in chunks(batch.column(5)):
+            for i, j in chunks(batch.column(5), _CHUNK):
                 part = batch.slice(i, j - i)
                 doc, feature = _dedup(*features(part.column(5)))
                 first = np.searchsorted(doc, np.arange(j - i + 1))
                 blobs = [feature[first[k] : first[k + 1]].astype("<u4").tobytes() for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(blobs, type=pa.binary())], names=["i", "positive", "unlabelled", "y", "fold", "f"])
 
-    sample = cut(spark, rows.mapInArrow(extract, T.StructType([*rows.schema.fields[:5], T.StructField("f", T.BinaryType())])))
+    sample = cut(spark, rows.mapInArrow(tidied(extract), T.StructType([*rows.schema.fields[:5], T.StructField("f", T.BinaryType())])))
 
     def count(batches):
         """(fold, feature, texts among the positives, texts among the unlabelled), a task's own sums."""
@@ -196,7 +198,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, doc_id: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(have), own, np.int32)), pa.array(have), *(pa.array(x[have].astype(np.int64)) for x in sums[k])], names=["fold", "feature", "up", "un"])
 
     sizes = {r["fold"]: (r["up"], r["un"]) for r in sample.groupBy("fold").agg(F.sum(F.col("positive").cast("int")).alias("up"), F.sum(F.col("unlabelled").cast("int")).alias("un")).collect()}
-    counted = sample.mapInArrow(count, "fold int, feature long, up long, un long").groupBy("fold", "feature").agg(F.sum("up").alias("up"), F.sum("un").alias("un"))
+    counted = sample.mapInArrow(tidied(count), "fold int, feature long, up long, un long").groupBy("fold", "feature").agg(F.sum("up").alias("up"), F.sum("un").alias("un"))
     tells = {own: np.zeros(_SIZE) for own in sizes}
     table = counted.where("up + un >= 3").toArrow()  # _SIZE features of two folds at most
     at = table.column("fold").to_numpy()
@@ -218,7 +220,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, doc_id: str = "
                 out.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.binary())], names=batch.schema.names)
 
-    table = sample.mapInArrow(reduced, sample.schema).toArrow().sort_by("i").combine_chunks()
+    table = sample.mapInArrow(tidied(reduced), sample.schema).toArrow().sort_by("i").combine_chunks()
     positive, unlabelled = (table.column(c).to_numpy() for c in ("positive", "unlabelled"))
     folds, y = table.column("fold").to_numpy(), table.column("y").fill_null(-1).to_numpy()
     texts = [np.frombuffer(f.as_buffer(), "<u4") for f in table.column("f")]
@@ -264,10 +266,10 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, doc_
         for batch in batches:
             scores = [np.zeros(batch.num_rows)] if shared.value is None else [np.zeros(0)]
             if shared.value is not None:
-                for i, j in chunks(batch.column(at)):
+                for i, j in chunks(batch.column(at), _CHUNK):
                     scores.append(shared.value.score(batch.column(at).slice(i, j - i)))
             s = np.concatenate(scores)
             cols = [*batch.columns, pa.array(s), pa.array((s >= CUT).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "tox_score", "tox_predicted"])
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("tox_score", T.DoubleType()), T.StructField("tox_predicted", T.IntegerType())]))
+    return docs.mapInArrow(tidied(score), T.StructType([*docs.schema.fields, T.StructField("tox_score", T.DoubleType()), T.StructField("tox_predicted", T.IntegerType())]))
